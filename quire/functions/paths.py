@@ -1,9 +1,6 @@
 """Column functions over upload paths, document ids and workspace names."""
 
-import pandas as pd
-import regex
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 from quire import constants as K
 from quire.functions import text as T
@@ -53,24 +50,6 @@ def normalize_path(path: Column) -> Column:
     return F.array_join(names(path), "/")
 
 
-@F.pandas_udf(StringType())
-def _cut_bytes(text: pd.Series) -> pd.Series:
-    """At most MAX_SEGMENT_BYTES of UTF-8, cut between graphemes."""
-
-    def cut(s):
-        if s is None:
-            return None
-        kept, used = [], 0
-        for g in regex.findall(r"\X", s):
-            used += len(g.encode("utf-8", "surrogatepass"))
-            if used > K.MAX_SEGMENT_BYTES:
-                break
-            kept.append(g)
-        return "".join(kept)
-
-    return text.map(cut)
-
-
 def _safe_chars(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(T.ws_trim(name), _SAFE, "-"), "-{2,}", "-")
 
@@ -81,13 +60,8 @@ def _trim_dots(name: Column) -> Column:
 
 
 def clean_segment(name: Column) -> Column:
-    """One name made safe as a file or folder: composed, cleaned, cut, trimmed.
-
-    Only a name over the byte limit is cut in Python.
-    """
-    safe = _safe_chars(T.nfc(name))
-    long = F.octet_length(safe) > K.MAX_SEGMENT_BYTES
-    return _trim_dots(F.coalesce(_cut_bytes(F.when(long, safe)), safe))
+    """One name made safe as a file or folder: composed, cleaned, cut, trimmed."""
+    return _trim_dots(_cut_graphemes(_safe_chars(T.nfc(name))))
 
 
 def clean_folder(name: Column) -> Column:
@@ -100,14 +74,10 @@ def clean_folder(name: Column) -> Column:
 
 
 def _clean_names(parts: Column, folders: bool) -> Column:
-    """Names cleaned inside the array: composed beforehand, so all of it stays in the JVM.
-
-    A name over the byte limit is cut by code points here, which a caller that
-    must hold grapheme boundaries avoids by exploding and using clean_segment.
-    """
+    """Names cleaned inside the array: composed beforehand, so all of it stays in the JVM."""
 
     def clean(p):
-        safe = _trim_dots(_cut_by_points(_safe_chars(p)))
+        safe = _trim_dots(_cut_graphemes(_safe_chars(p)))
         if not folders:
             return safe
         return F.when(
@@ -118,8 +88,8 @@ def _clean_names(parts: Column, folders: bool) -> Column:
     return F.transform(parts, clean)
 
 
-def _cut_by_points(s: Column) -> Column:
-    """Longest prefix of graphemes, base and its marks together, within the byte limit."""
+def _cut_graphemes(s: Column) -> Column:
+    """The longest prefix of whole graphemes within the byte limit."""
     units = F.regexp_extract_all(s, F.lit(r"\X"), F.lit(0))
     start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("used"))
 
@@ -141,7 +111,12 @@ def clean_path(path: Column) -> Column:
 
 def clean_id(path: Column) -> Column:
     """A document id: folders cleaned as folders, the last name as the document's."""
-    parts = names(T.nfc(path))
+    return clean_composed_id(T.nfc(path))
+
+
+def clean_composed_id(path: Column) -> Column:
+    """clean_id of a path already in composed form: no Python, so usable in lambdas."""
+    parts = names(path)
     n = F.size(parts)
     folders = _clean_names(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))), folders=True)
     last = _clean_names(F.slice(parts, F.greatest(n, F.lit(1)), F.lit(1)), folders=False)
@@ -191,16 +166,12 @@ def renamed_id(doc_id: Column, typed: Column) -> Column:
     return F.when(name.rlike(r"[\p{L}\p{N}]"), made).otherwise(F.lit(""))
 
 
-@F.pandas_udf(StringType())
-def _first_graphemes(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else "".join(regex.findall(r"\X", s)[: K.MAX_NAME]))
-
-
 def clean_name(name: Column) -> Column:
     """A workspace's name as it is kept, NULL when nothing is left."""
     hidden = rf"(?:(?![{_ZW_JOINERS}])[\p{{Cc}}\p{{Cf}}{K.WS_IN_CLASS}])+"
     flat = T.ws_trim(F.regexp_replace(T.nfc(name), hidden, " "))
-    cut = F.coalesce(_first_graphemes(F.when(F.length(flat) > K.MAX_NAME, flat)), flat)
+    graphemes = F.slice(F.regexp_extract_all(flat, F.lit(r"\X"), F.lit(0)), 1, K.MAX_NAME)
+    cut = F.when(F.length(flat) > K.MAX_NAME, F.array_join(graphemes, "")).otherwise(flat)
     ws = K.WS_IN_CLASS
     stray = rf"(?<![^{ws}])[{_ZW_JOINERS}]+|[{_ZW_JOINERS}]+(?![^{ws}])"
     kept = T.ws_trim(F.regexp_replace(F.regexp_replace(cut, stray, ""), " {2,}", " "))

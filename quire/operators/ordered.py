@@ -23,3 +23,21 @@ def running_before(df: DataFrame, keys: list[str], order: str, value: Column, ou
         .withColumn(out, F.col("_base") + F.coalesce(F.sum("_v").over(inside), F.lit(0)))
         .drop("_span", "_v", "_base")
     )
+
+
+def nearest_known(df: DataFrame, keys: list[str], order: str, value: Column, out: str, ahead: bool) -> DataFrame:
+    """df with `out`: the nearest value that is not NULL strictly before (or after)."""
+    df = df.withColumn("_span", F.floor(F.col(order) / SPAN)).withColumn("_v", value)
+    pick = F.min_by if ahead else F.max_by
+    known = df.where(F.col("_v").isNotNull()).groupBy(*keys, "_span").agg(pick("_v", order).alias("_edge"))
+    spans = df.select(*keys, "_span").distinct().join(known, [*keys, "_span"], "left")
+    first_last = F.first if ahead else F.last
+    frame = (1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)
+    over_spans = Window.partitionBy(*keys).orderBy("_span").rowsBetween(*frame)
+    spans = spans.select(*keys, "_span", first_last("_edge", ignorenulls=True).over(over_spans).alias("_far"))
+    inside = Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(*frame)
+    return (
+        df.join(spans, [*keys, "_span"])
+        .withColumn(out, F.coalesce(first_last("_v", ignorenulls=True).over(inside), F.col("_far")))
+        .drop("_span", "_v", "_far")
+    )
