@@ -55,8 +55,7 @@ def _safe_chars(name: Column) -> Column:
 
 
 def _trim_dots(name: Column) -> Column:
-    out = F.regexp_replace(name, r"^[ .]+|[ .]+$", "")
-    return F.when(out == "", "untitled").otherwise(out)
+    return F.regexp_replace(F.regexp_replace(name, r"^[ .]+|[ .]+$", ""), r"^\z", "untitled")
 
 
 def clean_segment(name: Column) -> Column:
@@ -66,11 +65,11 @@ def clean_segment(name: Column) -> Column:
 
 def clean_folder(name: Column) -> Column:
     """A segment that does not end the way a document's own paths do."""
-    safe = clean_segment(name)
-    return F.when(
-        safe.rlike(_OWN_SUFFIX),
-        F.regexp_replace(F.regexp_replace(safe, r"\.(\w+)$", "-$1"), "-{2,}", "-"),
-    ).otherwise(safe)
+    return _no_suffix(clean_segment(name))
+
+
+def _no_suffix(safe: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(safe, _OWN_SUFFIX, "-$1"), "-{2,}", "-")
 
 
 def _clean_names(parts: Column, folders: bool) -> Column:
@@ -78,19 +77,13 @@ def _clean_names(parts: Column, folders: bool) -> Column:
 
     def clean(p):
         safe = _trim_dots(_cut_graphemes(_safe_chars(p)))
-        if not folders:
-            return safe
-        return F.when(
-            safe.rlike(_OWN_SUFFIX),
-            F.regexp_replace(F.regexp_replace(safe, r"\.(\w+)$", "-$1"), "-{2,}", "-"),
-        ).otherwise(safe)
+        return _no_suffix(safe) if folders else safe
 
     return F.transform(parts, clean)
 
 
 def _cut_graphemes(s: Column) -> Column:
     """The longest prefix of whole graphemes within the byte limit."""
-    units = F.regexp_extract_all(s, F.lit(r"\X"), F.lit(0))
     start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("used"))
 
     def take(acc, u):
@@ -100,9 +93,12 @@ def _cut_graphemes(s: Column) -> Column:
             used.alias("used"),
         )
 
-    return F.when(
-        F.octet_length(s) > K.MAX_SEGMENT_BYTES, F.aggregate(units, start, take)["kept"]
-    ).otherwise(s)
+    def cut(t):
+        units = F.regexp_extract_all(t, F.lit(r"\X"), F.lit(0))
+        long = F.octet_length(t) > K.MAX_SEGMENT_BYTES
+        return F.when(long, F.aggregate(units, start, take)["kept"]).otherwise(t)
+
+    return T.bind(s, cut)
 
 
 def clean_path(path: Column) -> Column:
@@ -116,11 +112,14 @@ def clean_id(path: Column) -> Column:
 
 def clean_composed_id(path: Column) -> Column:
     """clean_id of a path already in composed form: no Python, so usable in lambdas."""
-    parts = names(path)
-    n = F.size(parts)
-    folders = _clean_names(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))), folders=True)
-    last = _clean_names(F.slice(parts, F.greatest(n, F.lit(1)), F.lit(1)), folders=False)
-    return F.array_join(F.concat(folders, last), "/")
+
+    def clean(parts):
+        n = F.size(parts)
+        folders = _clean_names(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))), folders=True)
+        last = _clean_names(F.slice(parts, F.greatest(n, F.lit(1)), F.lit(1)), folders=False)
+        return F.array_join(F.concat(folders, last), "/")
+
+    return T.bind(names(path), clean)
 
 
 def is_doc_id(value: Column) -> Column:
@@ -128,40 +127,29 @@ def is_doc_id(value: Column) -> Column:
 
 
 def slug(name: Column) -> Column:
-    s = F.regexp_replace(
-        F.regexp_replace(F.lower(T.nfc(name)), r"[^\p{L}\p{M}\p{N}]+", "-"), "^-+|-+$", ""
-    )
-    return F.when(s == "", "doc").otherwise(s)
+    s = F.regexp_replace(F.lower(T.nfc(name)), r"[^\p{L}\p{M}\p{N}]+", "-")
+    return F.regexp_replace(F.regexp_replace(s, "^-+|-+$", ""), r"^\z", "doc")
 
 
 def stem(filename: Column) -> Column:
     """A file name without its extension; a lone '.pdf' has an empty one."""
-    base = basename(filename)
-    dot = F.length(base) - F.instr(F.reverse(base), ".") + 1
-    has = F.instr(base, ".") > 0
-    return (
-        F.when(has & (dot == 1), F.when(base.rlike(r"(?i)^\.pdf$"), F.lit("")).otherwise(base))
-        .when(has, base.substr(F.lit(1), dot - 1))
-        .otherwise(base)
-    )
+    return F.regexp_replace(basename(filename), r"(?i)^\.pdf$|(?<=.)\.[^.]*$", "")
 
 
 def doc_id_for(filename: Column, folder: Column | None = None) -> Column:
     """The id an uploaded file takes: its folders kept, its stem slugged."""
     folder = F.lit("") if folder is None else folder
-    parts = names(filename)
-    n = F.size(parts)
-    base = F.when(n > 0, F.element_at(parts, -1)).otherwise(F.lit(""))
-    inside = F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))), "/")
-    where = clean_path(F.concat_ws("/", folder, inside))
-    name = clean_segment(slug(stem(base)))
-    return F.when(where != "", F.concat(where, F.lit("/"), name)).otherwise(name)
+    path = normalize_path(filename)
+    inside = F.regexp_replace(path, "[^/]*$", "")
+    where = clean_path(F.concat(folder, F.lit("/"), inside))
+    name = clean_segment(slug(stem(F.regexp_extract(path, "[^/]*$", 0))))
+    return F.array_join(F.filter(F.array(where, name), lambda p: p != ""), "/")
 
 
 def renamed_id(doc_id: Column, typed: Column) -> Column:
     """The id a typed name makes for a document, '' when it makes none."""
     name = T.ws_trim(F.regexp_replace(T.ws_trim(F.regexp_replace(typed, r"[/\\]", "-")), r"(?i)\.pdf$", ""))
-    folder = F.regexp_replace(F.regexp_extract(doc_id, r"^(.*)/[^/]*$", 1), "/$", "")
+    folder = F.regexp_extract(doc_id, r"^(.*)/[^/]*$", 1)
     made = doc_id_for(F.concat(name, F.lit(".pdf")), folder)
     return F.when(name.rlike(r"[\p{L}\p{N}]"), made).otherwise(F.lit(""))
 

@@ -43,6 +43,11 @@ def utf16_length(text: Column) -> Column:
     return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def half_up(value: Column) -> Column:
     """Round half toward plus infinity."""
     return F.floor(value + 0.5)
@@ -78,14 +83,15 @@ def marker_role(text: Column) -> Column:
 
 def marker_of(text: Column) -> Column:
     """struct(role, marker, rest): the list marker a line starts with."""
-    head = marker_head(text)
-    cut = F.length(head["head"]) + 1
-    return F.struct(
-        head["role"].alias("role"),
-        ws_trim(head["head"]).alias("marker"),
-        F.when(head["role"] == "", text)
-        .otherwise(ws_trim(text.substr(cut, F.length(text))))
-        .alias("rest"),
+    return bind(
+        marker_head(text),
+        lambda head: F.struct(
+            head["role"].alias("role"),
+            ws_trim(head["head"]).alias("marker"),
+            F.when(head["role"] == "", text)
+            .otherwise(ws_trim(text.substr(F.length(head["head"]) + 1, F.length(text))))
+            .alias("rest"),
+        ),
     )
 
 
@@ -145,7 +151,7 @@ def page_label(text: Column) -> Column:
 def wording(text: Column) -> Column:
     """A line with its numbers wildcarded; '' when it holds no letter."""
     key = ws_trim(ws_collapse(F.regexp_replace(F.lower(text), r"\d+", "#")))
-    return F.when(key.rlike(r"\p{L}"), key).otherwise(F.lit(""))
+    return F.when(text.rlike(r"\p{L}"), key).otherwise(F.lit(""))
 
 
 # ---- markdown ---------------------------------------------------------------

@@ -376,7 +376,10 @@ def history_gate(run: DataFrame) -> DataFrame:
 
 def run_table(scores: DataFrame) -> DataFrame:
     """scores(inputs_of, category, passed, total) with a column per set of inputs."""
-    share = F.format_string("%.1f%%  %d/%d", F.first("passed") / F.first("total") * 100, F.first("passed"), F.first("total"))
+    said = F.format_string(
+        "%.1f%%  %d/%d", F.first("passed") / F.first("total") * 100, F.first("passed"), F.first("total")
+    )
+    share = F.when(F.count("total") > 0, said)
     return scores.groupBy("category").pivot("inputs_of", ["all", "text_layer"]).agg(share)
 
 

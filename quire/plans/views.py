@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source, i, para, k, raw): text wrapped at twelve words."""
+    """(doc_id, source, i, para, k, raw, wraps): text wrapped at twelve words."""
     paras = F.filter(F.split("text", "\n"), lambda p: F.length(F.trim(p)) > 0)
 
     def wrap(p, n):
@@ -29,14 +29,17 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.transform(
             F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 12).cast("int")),
             lambda k: F.struct(
-                n.alias("para"), k.alias("k"), F.array_join(F.slice(words, k * 12 + 1, 12), " ").alias("raw")
+                n.alias("para"),
+                k.alias("k"),
+                F.array_join(F.slice(words, k * 12 + 1, 12), " ").alias("raw"),
+                (F.size(words) > 12).alias("wraps"),
             ),
         )
 
     return (
         table(spark, sf_dir, "documents")
         .select("doc_id", "source", F.posexplode(F.flatten(F.transform(paras, wrap))).alias("i", "l"))
-        .select("doc_id", "source", "i", "l.para", "l.k", "l.raw")
+        .select("doc_id", "source", "i", "l.para", "l.k", "l.raw", "l.wraps")
     )
 
 
@@ -66,7 +69,7 @@ def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         }
     )
-    broken = F.col("m") == 11
+    broken = (F.col("m") == 11) & F.col("wraps")
     text = F.concat(
         F.coalesce("mark", F.lit("")),
         F.when(broken & (F.col("k") == 1), F.lit("ple ")).otherwise(F.lit("")),
