@@ -40,7 +40,7 @@ def ws_collapse(text: Column) -> Column:
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units: a character past U+FFFF counts twice."""
-    return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
 def bind(value: Column, use) -> Column:

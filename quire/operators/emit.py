@@ -6,13 +6,13 @@ counters are the one fold: one Arrow function per batch of pages over small
 integer arrays.
 """
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from quire import constants as K
 from quire.functions import text as T
-from quire.operators import furniture
+from quire.operators import furniture, paged
 from quire.operators.decisions import overlay_decisions
 from quire.operators.ordered import running_before
 from quire.session import settle
@@ -26,28 +26,26 @@ PAGE = ["doc_id", "page"]
 def _count_page(item, fresh, bullet, depth, printed):
     """(marker, indent, depth) per block. `fresh` marks a block that starts over:
     one that is no item, or the first of a list parted by a quote."""
-    out = []
     levels: list[list] = [[0, None]]  # per open depth: its column, its counted list
     for is_item, start, plain, asked, value in zip(item, fresh, bullet, depth, printed):
         if start:
             levels = [[0, None]]
         if not is_item:
-            out.append(None)
+            yield None, None, None
             continue
-        d = min(max(0, int(asked)), len(levels) - 1)
+        d = min(max(0, asked), len(levels) - 1)
         column, counted = levels[d]
         del levels[d:]
         if plain:
             marker, counted = "-", None
         else:
             last, mark = counted or (0, ".")
-            number = last + 1 if value is None or value != value else int(value)
+            number = last + 1 if value != value else int(value)
             if counted and number != last + 1:
                 mark = ")" if mark == "." else "."
             marker, counted = f"{number}{mark}", (number, mark)
         levels += [[column, counted], [column + len(marker) + 1, None]]
-        out.append({"marker": marker, "indent": column, "depth": d})
-    return out
+        yield marker, column, d
 
 
 _ITEM = ArrayType(
@@ -55,11 +53,17 @@ _ITEM = ArrayType(
 )
 
 
-@F.pandas_udf(_ITEM)
-def _count_udf(
-    item: pd.Series, fresh: pd.Series, bullet: pd.Series, depth: pd.Series, printed: pd.Series
-) -> pd.Series:
-    return pd.Series([_count_page(*page) for page in zip(item, fresh, bullet, depth, printed)])
+@F.arrow_udf(_ITEM)
+def _count_udf(item: pa.Array, fresh: pa.Array, bullet: pa.Array, depth: pa.Array, printed: pa.Array) -> pa.Array:
+    made = [
+        m
+        for page in paged.pages(item, fresh, bullet, depth, printed)
+        for m in _count_page(*[v.tolist() for v in page])
+    ]
+    marker, indent, nested = zip(*made) if made else ((), (), ())
+    return paged.pack(
+        item, marker=pa.array(marker, type=pa.string()), indent=paged.ints(indent), depth=paged.ints(nested)
+    )
 
 
 def list_markers(blocks: DataFrame) -> DataFrame:
@@ -81,10 +85,10 @@ def list_markers(blocks: DataFrame) -> DataFrame:
         .withColumn("in_list", F.col("was_list") & ~F.col("parted"))
         .withColumn("ends_open", F.col("is_item") | (F.col("hidden") & F.col("was_list")))
         .withColumn("fresh", F.col("parted") | (~F.col("hidden") & ~F.col("is_item")))
-        .withColumn("value", T.printed_value(F.col("role"), F.col("marker")))
+        .withColumn("value", T.printed_value(F.col("role"), F.col("marker")).cast("double"))
     )
     packed = df.groupBy(*PAGE).agg(
-        F.array_sort(F.collect_list(F.struct("ord", F.struct(*[c for c in df.columns if c not in PAGE]).alias("b")))).alias(
+        F.sort_array(F.collect_list(F.struct("ord", F.struct(*[c for c in df.columns if c not in PAGE]).alias("b")))).alias(
             "rows"
         )
     )
@@ -148,7 +152,7 @@ def shape(
 
 
 def _hidden_says() -> Column:
-    number = F.coalesce(F.col("value"), F.lit(1)).cast("string")
+    number = F.coalesce(F.col("value"), F.lit(1)).cast("int").cast("string")
     return (
         F.when(F.col("label").isNotNull(), F.concat(F.lit("page "), F.col("label")))
         .when(F.col("kind") == "image", F.col("words"))

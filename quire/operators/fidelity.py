@@ -136,7 +136,7 @@ def _shown_text() -> Column:
 
 def _commented_text() -> Column:
     said = F.when(F.col("kind") == "image", F.lit("")).otherwise(F.col("text"))
-    number = F.coalesce(F.col("value"), F.lit(1)).cast("string")
+    number = F.coalesce(F.col("value"), F.lit(1)).cast("int").cast("string")
     ordered = F.col("role").isin(*[r for r in K.LIST_ROLES if r != "bullet"])
     return (
         F.when(F.col("label").isNotNull(), F.concat(F.lit("page "), F.col("label")))

@@ -6,12 +6,13 @@ which answers with a line number per run; the words never leave the JVM.
 """
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
 
 from quire import constants as K
 from quire.functions import geometry as G, text as T
+from quire.operators import paged
 
 PAGE = ["doc_id", "page"]
 
@@ -104,43 +105,53 @@ class _Page:
             return False
         return any(ink for _, ink, _ in halves)
 
-    def line_ids(self) -> list[tuple[int, int]]:
-        """(line, place in it) for each run."""
-        out = [(0, 0)] * len(self.x)
+    def line_ids(self) -> tuple[list[int], list[int], list[bool]]:
+        """For each run: its line, its place in it, whether a gap parts it from
+        the run before."""
+        n = len(self.x)
+        lines, places, gaps = [0] * n, [0] * n, [False] * n
         line = -1
         for i, band in enumerate(self.bands):
             edge = prev = None
             place = 0
-            for r in sorted(band.runs, key=lambda r: self.x[r]):
+            for r in sorted(band.runs, key=self.x.__getitem__):
                 joins = False
                 if prev is not None:
                     lone = place == 1 and self.marker[prev]
                     gap = self.x[r] - edge
                     ratio = K.MARKER_GAP_RATIO if lone else K.JOIN_GAP_RATIO
-                    size = min(self.size[prev], self.size[r])
-                    joins = gap <= ratio * max(self.h[prev], self.h[r]) or (
-                        not lone
-                        and _alike(self.size[prev], self.size[r])
-                        and gap <= K.WORD_SPACE * size
-                        and self.is_space(i, edge, self.x[r], size)
-                    )
+                    joins = gap <= ratio * max(self.h[prev], self.h[r])
+                    if not joins and not lone:
+                        size = min(self.size[prev], self.size[r])
+                        joins = (
+                            gap <= K.WORD_SPACE * size
+                            and _alike(self.size[prev], self.size[r])
+                            and self.is_space(i, edge, self.x[r], size)
+                        )
                 if joins:
+                    gaps[r] = gap > K.SPACE_GAP_RATIO * max(self.h[r], 1.0)
                     place, edge = place + 1, max(edge, self.right[r])
                 else:
                     line, place, edge = line + 1, 1, self.right[r]
-                out[r] = (line, place)
+                lines[r], places[r] = line, place
                 prev = r
-        return out
+        return lines, places, gaps
 
 
-@F.pandas_udf(ArrayType(StructType().add("line", IntegerType()).add("place", IntegerType())))
+_LINE = ArrayType(
+    StructType().add("line", IntegerType()).add("place", IntegerType()).add("gap", BooleanType())
+)
+
+
+@F.arrow_udf(_LINE)
 def _assign_lines(
-    x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series, base: pd.Series, size: pd.Series, marker: pd.Series
-) -> pd.Series:
-    pages = zip(x, y, w, h, base, size, marker)
-    return pd.Series(
-        [[{"line": a, "place": b} for a, b in _Page(*[list(v) for v in p]).line_ids()] for p in pages]
-    )
+    x: pa.Array, y: pa.Array, w: pa.Array, h: pa.Array, base: pa.Array, size: pa.Array, marker: pa.Array
+) -> pa.Array:
+    line, place, gap = [], [], []
+    for page in paged.pages(x, y, w, h, base, size, marker):
+        for out, got in zip((line, place, gap), _Page(*[v.tolist() for v in page]).line_ids()):
+            out.extend(got)
+    return paged.pack(x, line=paged.ints(line), place=paged.ints(place), gap=pa.array(gap, type=pa.bool_()))
 
 
 def runs_to_lines(runs: DataFrame) -> DataFrame:
@@ -160,7 +171,7 @@ def runs_to_lines(runs: DataFrame) -> DataFrame:
         "font",
         marker.alias("marker"),
     )
-    pages = runs.groupBy(*PAGE).agg(F.array_sort(F.collect_list(one)).alias("runs"))
+    pages = runs.groupBy(*PAGE).agg(F.sort_array(F.collect_list(one)).alias("runs"))
 
     def column(get):
         return F.transform("runs", get)
@@ -175,21 +186,14 @@ def runs_to_lines(runs: DataFrame) -> DataFrame:
         column(lambda r: r["marker"]),
     )
     placed = pages.withColumn("at", fold).select(*PAGE, F.inline(F.arrays_zip("runs", "at")))
-    placed = placed.select(*PAGE, "runs.*", F.col("at.line").alias("line"), F.col("at.place").alias("place"))
-
-    # The space before a run: told by the pieces' own spaces or by the gap,
-    # measured from the furthest right the line has reached.
-    in_line = Window.partitionBy(*PAGE, "line").orderBy("place")
-    before = in_line.rowsBetween(Window.unboundedPreceding, -1)
-    gap = F.col("box.x") - F.max(G.right(F.col("box"))).over(before)
-    spaced = (
-        F.lag("trail").over(in_line)
-        | F.col("lead")
-        | (gap > K.SPACE_GAP_RATIO * F.greatest(F.col("box.h"), F.lit(1.0)))
+    placed = placed.select(
+        *PAGE, "runs.*", F.col("at.line").alias("line"), F.col("at.place").alias("place"), F.col("at.gap").alias("gap")
     )
-    glue = F.when(F.col("place") == 1, F.lit("")).when(spaced, F.lit(" ")).otherwise(F.lit(""))
+    # A space is told by the pieces' own spaces or by the gap between them.
+    glue = F.when(F.col("lead") | F.col("gap"), F.lit(" ")).otherwise(F.lit(""))
+    tail = F.when(F.col("trail"), F.lit(" ")).otherwise(F.lit(""))
     chars = T.utf16_length(F.col("text"))
-    pieces = placed.withColumn("said", F.concat(glue, F.col("text"))).withColumn("chars", chars)
+    pieces = placed.withColumn("said", F.concat(glue, F.col("text"), tail)).withColumn("chars", chars)
     longest = F.struct(F.col("chars"), -F.col("place"))
     lines = pieces.groupBy(*PAGE, "line").agg(
         F.array_join(

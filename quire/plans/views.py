@@ -11,6 +11,7 @@ none of its own.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions import geometry as G
+from quire.session import widen
 
 LINES_PER_PAGE = 30
 PAGE_W, PAGE_H = 612.0, 792.0
@@ -24,8 +25,7 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, i, para, k, raw, wraps): text wrapped at twelve words."""
     paras = F.filter(F.split("text", "\n"), lambda p: F.length(F.trim(p)) > 0)
 
-    def wrap(p, n):
-        words = F.split(F.trim(p), " +")
+    def wrap(words, n):
         return F.transform(
             F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 12).cast("int")),
             lambda k: F.struct(
@@ -36,8 +36,9 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         )
 
+    paras = F.transform(paras, lambda p: F.split(F.trim(p), " +"))
     return (
-        table(spark, sf_dir, "documents")
+        widen(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
         .select("doc_id", "source", F.posexplode(F.flatten(F.transform(paras, wrap))).alias("i", "l"))
         .select("doc_id", "source", "i", "l.para", "l.k", "l.raw", "l.wraps")
     )

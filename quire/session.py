@@ -11,6 +11,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A union of alike-partitioned sides must not pass for partitioned itself:
+    # adaptive execution may change one side afterwards, and a grouping over the
+    # union would then count its keys once per side.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
@@ -21,6 +25,22 @@ def build(master: str, app: str = "quire", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings results depend on, laid on a session someone else made."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.unionOutputPartitioning"):
+        spark.conf.set(key, SETTINGS[key])
+    return spark
+
+
+def widen(df: DataFrame, key: str) -> DataFrame:
+    """df spread over the cores when it comes in fewer pieces than there are.
+
+    A table of many files is left as it lies: this moves only small ones.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for cut lineage; one of our own only where
     none is named, as in tests."""
