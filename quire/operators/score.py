@@ -102,11 +102,13 @@ def prose_quotes(markdown: DataFrame) -> DataFrame:
     flat = F.regexp_replace(flat, r"!\[[^\]]*\]\([^)]*\)", " ")
     flat = F.regexp_replace(flat, r"\]\([^)]*\)", "] ")
     flat = F.regexp_replace(flat, r"<[^>]+>", " ")
-    runs = F.split(flat, rf"\n{K.WS}*\n")
+    # Split once per stretch of prose, before anything looks at its words.
+    runs = F.transform(
+        F.split(flat, rf"\n{K.WS}*\n"), lambda run: F.filter(F.split(run, rf"{K.WS}+"), lambda w: w != "")
+    )
     n = K.WORDS_PER_QUOTE
 
-    def cut(run):
-        words = F.filter(F.split(run, rf"{K.WS}+"), lambda w: w != "")
+    def cut(words):
         whole = F.floor(F.size(words) / n).cast("int")
         every = F.transform(
             F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.array().cast("array<int>")),
@@ -118,15 +120,19 @@ def prose_quotes(markdown: DataFrame) -> DataFrame:
             & (F.length(F.regexp_replace(q, r"[^\p{L}\p{N}]", "")) >= K.MIN_QUOTE_LETTERS),
         )
 
-    df = markdown.select("input", F.flatten(F.transform(runs, cut)).alias("q"))
-    size, most = F.size("q"), K.QUOTES_PER_DOC
-    picked = F.when(size <= most, F.col("q")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(most - 1)),
-            lambda i: F.element_at("q", (F.floor(i.cast("long") * size / most) + 1).cast("int")),
+    most = K.QUOTES_PER_DOC
+
+    def spread(q):
+        size = F.size(q)
+        return F.when(size <= most, q).otherwise(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(most - 1)),
+                lambda i: F.element_at(q, (F.floor(i.cast("long") * size / most) + 1).cast("int")),
+            )
         )
-    )
-    return df.select("input", F.posexplode(picked).alias("quote_no", "text"))
+
+    picked = T.bind(F.flatten(F.transform(runs, cut)), spread)
+    return markdown.select("input", F.posexplode(picked).alias("quote_no", "text"))
 
 
 _SIDES = ("up", "down", "left", "right", "top_heading", "left_heading")
