@@ -6,6 +6,7 @@ from catalog import layout_sql as L
 from quire.functions import geometry as G, runs as R, text as T
 from quire.operators import decisions as D, emit as E, furniture as FU, lines as LN, structure as S
 from quire.plans import views as V
+from quire.session import settle
 
 PAGE = ["doc_id", "page"]
 
@@ -14,15 +15,31 @@ def _flat_box(df):
     return df.withColumns({k: F.col(f"box.{k}") for k in "xywh"}).drop("box")
 
 
+_STORED = {}
+
+
+def stored(spark, sf, name, make):
+    """A table a pipeline would keep, made once for a session and a data folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
+
 def blocks_of(spark, sf):
     """The layout's text blocks: what most queries here start from."""
-    return S.structure(V.layout_lines(spark, sf))
+    return stored(spark, sf, "blocks", lambda: settle(S.structure(V.layout_lines(spark, sf)), "blocks"))
 
 
 def _markdown(spark, sf):
     return E.emit(blocks_of(spark, sf), V.layout_pages(spark, sf))
 
 
+def markdown_of(spark, sf):
+    """The undecided markdown, its written blocks kept: what checks on it start from."""
+    return stored(spark, sf, "markdown", lambda: _markdown(spark, sf))
+
+
 QUERIES = {}
 
 
@@ -119,7 +136,7 @@ add(
 )
 add(
     "structure",
-    lambda s, d: _flat_box(blocks_of(s, d)).select(
+    lambda s, d: _flat_box(S.structure(V.layout_lines(s, d))).select(
         *PAGE, "ord", "block_id", "x", "y", "w", "h", F.size("lines").alias("n_lines"), "text", "role", "level", "depth",
         "bold", "italic", "marker", "size",
     ),
@@ -325,7 +342,7 @@ add(
 )
 add(
     "line_numbers",
-    lambda s, d: _markdown(s, d).placed.select(*PAGE, "block_id", "n", "line_from", "line_to", "hidden", "deleted"),
+    lambda s, d: markdown_of(s, d).placed.select(*PAGE, "block_id", "n", "line_from", "line_to", "hidden", "deleted"),
     L.with_markdown(
         """SELECT m.doc_id, m.page, m.block_id, e.nth AS n, m.line_no AS line_from, m.line_no AS line_to, false AS hidden,
           false AS deleted FROM md m JOIN emitted e ON e.doc_id = m.doc_id AND e.block_id = m.block_id"""
@@ -333,7 +350,7 @@ add(
 )
 add(
     "list_markers",
-    lambda s, d: _markdown(s, d).written.where("is_item").select(
+    lambda s, d: markdown_of(s, d).written.where("is_item").select(
         *PAGE, "block_id", "item.marker", "item.indent", "item.depth"
     ),
     L.with_markdown(
@@ -342,7 +359,7 @@ add(
 )
 add(
     "list_after",
-    lambda s, d: _markdown(s, d).placed.where("item is not null").select(*PAGE, "block_id", "item.after"),
+    lambda s, d: markdown_of(s, d).placed.where("item is not null").select(*PAGE, "block_id", "item.after"),
     L.with_markdown(
         """SELECT doc_id, page, block_id, CASE WHEN p_item THEN p_id END AS after FROM (
           SELECT *, lag(item) OVER o AS p_item, lag(block_id) OVER o AS p_id FROM emitted
@@ -351,7 +368,7 @@ add(
 )
 add(
     "md_pages",
-    lambda s, d: E.md_pages(_markdown(s, d).lines),
+    lambda s, d: E.md_pages(markdown_of(s, d).lines),
     L.with_markdown(
         """SELECT doc_id, page, min(line_no) - 1 AS line_from, count(*) AS n_lines,
           string_agg(text, chr(10) ORDER BY line_no) || chr(10) AS text FROM md GROUP BY doc_id, page"""

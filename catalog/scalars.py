@@ -324,8 +324,7 @@ add(
         OR parts[-1] LIKE '.\_%' ESCAPE '\' OR parts[-1] IN ('.DS_Store', 'Thumbs.db') AS junk
       FROM (SELECT *, string_split(path, '/') AS parts FROM files)""",
 )
-CLEAN = r"""CASE WHEN s = '' THEN 'untitled' ELSE s END"""
-SEG = r"""regexp_replace(regexp_replace(regexp_replace(trim({x}), '[^\p{{L}}\p{{M}}\p{{N}}._ -]+', '-', 'g'), '-{{2,}}', '-', 'g'), '^[ .]+|[ .]+$', '', 'g')"""
+SEG = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '^\s+|\s+$', '', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}._ -]+', '-', 'g'), '-{{2,}}', '-', 'g'), '^[ .]+|[ .]+$', '', 'g')"""
 
 
 def seg(x):

@@ -4,7 +4,7 @@ selection, alignment, the decision log and its streams."""
 from pyspark.sql import functions as F
 
 from catalog import layout_sql as L
-from catalog.layout import blocks_of
+from catalog.layout import blocks_of, markdown_of
 from catalog.scalars import FILES, files
 from quire import session
 from quire.functions import measure as M, text as T
@@ -99,8 +99,7 @@ add(
 
 
 def _sides(s, d):
-    blocks, pages = blocks_of(s, d), V.layout_pages(s, d)
-    return FI.sides(V.layers(s, d), blocks, E.emit(blocks, pages))
+    return FI.sides(V.layers(s, d), blocks_of(s, d), markdown_of(s, d))
 
 
 FIDELITY = rf""", layer AS (SELECT doc_id, page, string_agg(text, ' ' ORDER BY line_no) AS text FROM lines GROUP BY 1, 2),
@@ -174,7 +173,7 @@ add(
 )
 add(
     "measure",
-    lambda s, d: E.md_pages(E.emit(blocks_of(s, d), V.layout_pages(s, d)).lines)
+    lambda s, d: E.md_pages(markdown_of(s, d).lines)
     .select(*PAGE, M.text_size(F.col("text")).alias("m"), M.comment_lines(F.col("text")).alias("comments"),
             F.array_join(M.may_hold_gfm(F.col("text")), ",").alias("gfm"))
     .select(*PAGE, "m.*", "comments", "gfm"),
@@ -709,8 +708,7 @@ add("selection_summary", lambda s, d: SE.selection_summary(_selected(s, d)),
 
 
 def _items(s, d):
-    md = E.emit(blocks_of(s, d), V.layout_pages(s, d))
-    p = md.placed.where("item is not null")
+    p = markdown_of(s, d).placed.where("item is not null")
     return p.select(*PAGE, "line_from", "block_id", "item.depth", "item.after", (F.col("ord") % 2 == 1).alias("chosen"))
 
 
@@ -724,7 +722,7 @@ add("nesting_outdent", lambda s, d: SE.nesting(_items(s, d), -1),
 def _points(s, d):
     blocks, pages = blocks_of(s, d), V.layout_pages(s, d)
     tops = A.page_tops(pages)
-    return A.align_positions(E.emit(blocks, pages).placed, blocks, tops), tops
+    return A.align_positions(markdown_of(s, d).placed, blocks, tops), tops
 
 
 def _aligned(s, d):
