@@ -54,7 +54,7 @@ add(
     lambda s, d: _flat_box(LN.runs_to_lines(V.layout_runs(s, d))).drop("line_no"),
     L.with_lines(
         """SELECT doc_id, page, text, size, bold, italic, CASE WHEN bold THEN 'Body-Bold' ELSE 'Body' END AS font,
-          x, y, length(text) * CASE WHEN doc_id % 4 = 0 THEN 0.5 ELSE 1.0 END AS w, h FROM lines"""
+          x, y, (length(text) * CASE WHEN doc_id % 4 = 0 THEN 0.5 ELSE 1.0 END)::DOUBLE AS w, h FROM lines"""
     ),
 )
 add(

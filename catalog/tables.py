@@ -63,38 +63,46 @@ add(
 )
 
 
+EXCHANGE = ["conv_id", "pair"]
+
+
 def _said(s, d, role):
-    return V.table(s, d, "conversations").where(F.col("role") == role).groupBy("conv_id").agg(
-        F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY turn)").alias("text")
-    )
+    """One side of each exchange of a conversation: a question and its answer
+    stand for a page and its markdown."""
+    talk = V.table(s, d, "conversations").where(F.col("role") == role)
+    return talk.select("conv_id", F.floor(F.col("turn") / 2).alias("pair"), "text")
 
 
 def _have(s, d):
-    words = _said(s, d, "assistant").select("conv_id", F.explode(T.words_of(F.col("text"))).alias("word"))
-    return words.groupBy("conv_id", "word").agg(F.count("*").alias("n"))
+    words = _said(s, d, "assistant").select(*EXCHANGE, F.explode(T.words_of(F.col("text"))).alias("word"))
+    return words.groupBy(*EXCHANGE, "word").agg(F.count("*").alias("n"))
+
+
+def _asked(s, d):
+    return FI.words_in_order(_said(s, d, "user"), EXCHANGE, F.col("text"))
 
 
 def _missing(s, d):
-    words = FI.words_in_order(_said(s, d, "user"), ["conv_id"], F.col("text"))
-    return FI.missing_words(words, _have(s, d), None, ["conv_id"])
+    return FI.missing_words(_asked(s, d), _have(s, d), None, EXCHANGE)
 
 
-SAID = f"""t AS (SELECT conv_id, role, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1, 2),
-  w AS (SELECT conv_id, role, unnest({WORDS.format(c='text')}) AS word, generate_subscripts({WORDS.format(c='text')}, 1) - 1 AS pos FROM t),
-  have AS (SELECT conv_id, word, count(*) AS n FROM w WHERE role = 'assistant' GROUP BY 1, 2),
-  u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, word ORDER BY pos) AS nth FROM w WHERE role = 'user'),
-  miss AS (SELECT u.conv_id, u.pos, u.word FROM u LEFT JOIN have h ON h.conv_id = u.conv_id AND h.word = u.word WHERE nth > coalesce(h.n, 0))"""
-add("missing_words", _missing, f"WITH {SAID} SELECT conv_id, pos, word FROM miss")
+SAID = f"""t AS (SELECT conv_id, turn // 2 AS pair, role, {WORDS.format(c='text')} AS ws FROM conversations),
+  w AS (SELECT conv_id, pair, role, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM t),
+  have AS (SELECT conv_id, pair, word, count(*) AS n FROM w WHERE role = 'assistant' GROUP BY 1, 2, 3),
+  u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, pair, word ORDER BY pos) AS nth FROM w WHERE role = 'user'),
+  miss AS (SELECT u.conv_id, u.pair, u.pos, u.word FROM u LEFT JOIN have h ON h.conv_id = u.conv_id AND h.pair = u.pair
+    AND h.word = u.word WHERE nth > coalesce(h.n, 0))"""
+add("missing_words", _missing, f"WITH {SAID} SELECT conv_id, pair, pos, word FROM miss")
 add(
     "spare_word_filter",
     lambda s, d: FI.spare_word_filter(
-        _missing(s, d),
-        FI.spare_words(FI.words_in_order(_said(s, d, "user"), ["conv_id"], F.col("text")), _have(s, d), None, ["conv_id"]),
-        ["conv_id"],
+        _missing(s, d), FI.spare_words(_asked(s, d), _have(s, d), None, EXCHANGE), EXCHANGE
     ),
-    f"""WITH {SAID}, want AS (SELECT conv_id, word, count(*) AS n FROM u GROUP BY 1, 2),
-    spare AS (SELECT h.conv_id, h.word FROM have h LEFT JOIN want q ON q.conv_id = h.conv_id AND q.word = h.word WHERE h.n > coalesce(q.n, 0))
-    SELECT conv_id, pos, word FROM miss m WHERE NOT EXISTS (SELECT 1 FROM spare s WHERE s.conv_id = m.conv_id AND contains(s.word, m.word))""",
+    f"""WITH {SAID}, want AS (SELECT conv_id, pair, word, count(*) AS n FROM u GROUP BY 1, 2, 3),
+    spare AS (SELECT h.conv_id, h.pair, h.word FROM have h LEFT JOIN want q ON q.conv_id = h.conv_id AND q.pair = h.pair AND q.word = h.word
+      WHERE h.n > coalesce(q.n, 0))
+    SELECT conv_id, pair, pos, word FROM miss m
+    WHERE NOT EXISTS (SELECT 1 FROM spare s WHERE s.conv_id = m.conv_id AND s.pair = m.pair AND contains(s.word, m.word))""",
 )
 
 
