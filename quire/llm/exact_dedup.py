@@ -21,6 +21,8 @@ def _state_on_disk(spark: SparkSession):
         "spark.sql.streaming.stateStore.providerClass": ROCKS,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+        # many small stores: no room is set aside on disk before it is needed
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     were = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
