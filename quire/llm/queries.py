@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.llm import (
-    decontamination as DC, exact_dedup as ED, language_id as LI, mixing as MX, near_dedup as ND, resharding as RS, token_records as TR,
+    decontamination as DC, exact_dedup as ED, language_id as LI, lm_scoring as LM, mixing as MX, near_dedup as ND, resharding as RS, token_records as TR,
 )
 
 
@@ -54,6 +54,11 @@ def op7_mixing(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "extra_words")
 
 
+def op9_lm_scoring(spark, sf_dir):
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return LM.score(_documents(spark, sf_dir), F.coalesce(F.pmod(crc, F.lit(7)) == 2, F.lit(False)))
+
+
 def op10_near_dedup(spark, sf_dir):
     out = ND.near_duplicates(_documents(spark, sf_dir))
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -74,6 +79,8 @@ one AS (SELECT item_id, len(ss) AS n_item, unnest(ss) AS s FROM its)
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*)::DOUBLE / n_item AS containment
 FROM ds JOIN one USING (s) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item"""
 
+OP9_SQL = None
+
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op2_language_id": (op2_language_id, None),
@@ -81,5 +88,6 @@ QUERIES = {
     "op5_decontamination": (op5_decontamination, OP5_SQL),
     "op6_resharding": (op6_resharding, None),
     "op7_mixing": (op7_mixing, None),
+    "op9_lm_scoring": (op9_lm_scoring, OP9_SQL),
     "op10_near_dedup": (op10_near_dedup, None),
 }
