@@ -170,12 +170,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = 100, k: int = 3
 
     Each window has one anchor: the leftmost of its k-byte runs of least hash, so
     equal windows have equal anchors at equal places. Returns, for every stretch of
-    consecutive windows of one text with one anchor: (hash of the anchor, first
-    window, number of windows, text number); windows count from the batch's start.
+    consecutive windows of one text with one anchor: (hash of the anchor, its place,
+    first window, number of windows, text number); places count from the batch's start.
     """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     h = grams(data, k)
     keyed = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     at = (least(keyed, length - k + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -187,7 +187,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = 100, k: int = 3
     new[1:] &= (at[1:] != at[:-1]) | ~good[:-1] | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     if not len(first):
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     ends = np.concatenate([[0], np.cumsum(good)])
     n = np.diff(np.append(ends[first], ends[-1]))
-    return mix(h[at[first]]), first, n, text[first]
+    return mix(h[at[first]]), at[first], first, n, text[first]
+
+
+def anchor_of(data: np.ndarray, windows: np.ndarray, length: int = 100, k: int = 32) -> np.ndarray:
+    """The anchors' places of the windows that begin at the given places."""
+    h = grams(data, k)
+    keyed = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    return (least(keyed, length - k + 1)[windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.llm import (
-    decontamination as DC, exact_dedup as ED, language_id as LI, lm_scoring as LM, mixing as MX, near_dedup as ND, resharding as RS, token_records as TR,
+    chunk_dedup as CD, decontamination as DC, exact_dedup as ED, language_id as LI, lm_scoring as LM, mixing as MX, near_dedup as ND, resharding as RS, suffix_dedup as SD, token_records as TR,
 )
 
 
@@ -25,6 +25,11 @@ def op3_token_records(spark, sf_dir):
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_chunk_dedup(spark, sf_dir):
+    out = CD.repeated_spans(_documents(spark, sf_dir))
+    return out.select("doc_id", "first_id", "start", "end", "first_start", "n_chunks")
+
+
 def op5_decontamination(spark, sf_dir):
     return DC.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -54,6 +59,14 @@ def op7_mixing(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "extra_words")
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    out = SD.repeats(_documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op9_lm_scoring(spark, sf_dir):
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     return LM.score(_documents(spark, sf_dir), F.coalesce(F.pmod(crc, F.lit(7)) == 2, F.lit(False)))
@@ -85,9 +98,11 @@ QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op2_language_id": (op2_language_id, None),
     "op3_token_records": (op3_token_records, None),
+    "op4_chunk_dedup": (op4_chunk_dedup, None),
     "op5_decontamination": (op5_decontamination, OP5_SQL),
     "op6_resharding": (op6_resharding, None),
     "op7_mixing": (op7_mixing, None),
+    "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op9_lm_scoring": (op9_lm_scoring, OP9_SQL),
     "op10_near_dedup": (op10_near_dedup, None),
 }
