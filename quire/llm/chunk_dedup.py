@@ -76,7 +76,7 @@ def chunks(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, least: int = 64, id_column: str = "doc_id") -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = 96, id_column: str = "doc_id") -> DataFrame:
     """A row for each run of chunks that repeat earlier ones: id, start and end (bytes),
     n_chunks, first_id and first_start (where the run's first chunk came first), place.
 
