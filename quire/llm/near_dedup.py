@@ -6,8 +6,9 @@ A node is one distinct set of five-word shingles: texts with equal sets are link
 whatever the rest does, so copies are one node and cost nothing. Nodes that share a
 band are candidates. In each bucket first every node is compared with one centre,
 drawn by hash anew for each band; then, where a bucket's nodes are still in several
-components, all its pairs between components are compared by signature, block by
-block, so no link that shares a band is lost and no bucket is emitted as pairs.
+components, all pairs between these are compared block by block, by signature and
+then on full sets, so no link that shares a band is lost and no bucket is emitted as
+pairs.
 """
 
 import numpy as np
@@ -21,7 +22,7 @@ from quire.llm.common import FILE, ROW, placed, settle
 BANDS, WIDTH_OF_BAND, WORDS = 24, 3, 5
 HASHES = BANDS * WIDTH_OF_BAND
 LEAST_AGREE = 0.5  # of the signature: five deviations under a similarity of 0.75
-CHUNK = 2048  # nodes of one side of a block of pairs
+CHUNK = 512  # nodes of one side of a block of pairs
 _rng = np.random.default_rng(99)
 _A = _rng.integers(1, 2**64, HASHES, np.uint64, endpoint=False) | np.uint64(1)
 _B = _rng.integers(0, 2**64, HASHES, np.uint64, endpoint=False)
@@ -133,6 +134,16 @@ def _set_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return text.select("_node", "text").mapInArrow(run, "_node binary, _set binary")
 
 
+def _alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two distinct sets have 100 * shared >= percent * union."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = np.concatenate([p, q])
+    both.sort()
+    n = int((both[1:] == both[:-1]).sum())
+    return 100 * n >= percent * (len(p) + len(q) - n)
+
+
 def _linked(pairs: DataFrame, set_rows: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * shared >= percent * union on their full sets."""
     one = pairs.join(set_rows.withColumnsRenamed({"_node": "a", "_set": "_x"}), "a")
@@ -145,12 +156,7 @@ def _linked(pairs: DataFrame, set_rows: DataFrame, percent: int) -> DataFrame:
             xo, yo = xo // 8, yo // 8
             good = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                p, q = x[xo[i] : xo[i + 1]], y[yo[i] : yo[i + 1]]
-                if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
-                    both = np.concatenate([p, q])
-                    both.sort()
-                    n = int((both[1:] == both[:-1]).sum())
-                    good[i] = 100 * n >= percent * (len(p) + len(q) - n)
+                good[i] = _alike(x[xo[i] : xo[i + 1]], y[yo[i] : yo[i + 1]], percent)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return both.select("a", "b", "_x", "_y").mapInArrow(run, "a binary, b binary")
@@ -186,41 +192,65 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _cross_pairs(rows: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b) of different components that share a bucket and have like signatures."""
+def _cross_links(rows: DataFrame, roots: DataFrame, nodes: DataFrame, set_rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of different components that share a bucket.
+
+    Nodes of buckets still split, with what they share buckets with, are families; a
+    family's nodes are compared in blocks of CHUNK by CHUNK, first by signature, then
+    on their full sets, likeliest first. Once two components are linked in a block
+    their other pairs are left, so a block gives fewer links than it has nodes.
+    """
     root = roots.select(F.col("node").alias("_node"), "root")
     rows = rows.join(root, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
-    split = rows.groupBy("_band", "_key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("_n"))
-    split = split.where("lo <> hi").select("_band", "_key", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_m"))
-    members = rows.join(split, ["_band", "_key"]).withColumn("_i", F.pmod(F.xxhash64("_node"), F.col("_m")).cast("int"))
+    split = rows.groupBy("_band", "_key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("_node").alias("_c"))
+    members = settle(rows.join(split.where("lo <> hi"), ["_band", "_key"]).select("_node", "root", "_c").distinct())
+    family = components(members.select(F.col("_node").alias("a"), F.col("_c").alias("b")))
+    family = settle(family.select(F.col("node").alias("_node"), F.col("root").alias("_family")))
+    size = family.groupBy("_family").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_m"))
+    one = members.select("_node", "root").distinct().join(family, "_node").join(size, "_family")
+    one = one.withColumn("_i", F.pmod(F.xxhash64("_node"), F.col("_m")).cast("int"))
+    one = one.join(nodes.select("_node", "_sig"), "_node").join(set_rows, "_node")
     # each node goes to the blocks of pairs (i, j), i <= j, of its own chunk
-    others = F.sequence(F.lit(0), F.col("_m") - 1)
-    block = F.transform(others, lambda j: F.struct(F.least("_i", j).alias("i"), F.greatest("_i", j).alias("j")))
-    sig = nodes.select("_node", "_sig")
-    blocks = members.join(sig, "_node").select("_band", "_key", "_node", "root", "_sig", "_i", F.explode(block).alias("_p"))
-    blocks = blocks.select("_band", "_key", "_node", "root", "_sig", "_i", F.col("_p.i").alias("_pi"), F.col("_p.j").alias("_pj"))
+    block = F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda j: F.struct(F.least("_i", j).alias("i"), F.greatest("_i", j).alias("j")))
+    blocks = one.withColumn("_p", F.explode(block)).select(
+        "_family", F.col("_p.i").alias("_pi"), F.col("_p.j").alias("_pj"), "_node", "root", "_sig", "_set", "_i"
+    )
 
     def run(table: pa.Table) -> pa.Table:
         node = table["_node"].to_pylist()
         _, root = np.unique(np.array([r.hex() for r in table["root"].to_pylist()]), return_inverse=True)
         sig = np.frombuffer(b"".join(table["_sig"].to_pylist()), np.uint32).reshape(-1, HASHES)
+        full = [np.frombuffer(x, np.uint64) for x in table["_set"].to_pylist()]
+        size = np.array([len(x) for x in full])
         chunk = table["_i"].to_numpy()
-        i, j, band = table["_pi"][0].as_py(), table["_pj"][0].as_py(), table["_band"][0].as_py()
-        keys = bands(sig)
+        i, j = table["_pi"][0].as_py(), table["_pj"][0].as_py()
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        a_s, b_s = [], []
+        found = []
         for x in left.tolist():
             ys = right[right > x] if i == j else right
-            ys = ys[root[ys] != root[x]]
-            if len(ys):
-                ys = ys[(sig[ys] == sig[x]).sum(1) >= LEAST_AGREE * HASHES]
-                ys = ys[~(keys[ys, :band] == keys[x, :band]).any(1)]  # those were met in an earlier band
-                for y in ys.tolist():
-                    lo, hi = sorted((node[x], node[y]))
-                    a_s.append(lo), b_s.append(hi)
-        return pa.table({"a": pa.array(a_s, pa.binary()), "b": pa.array(b_s, pa.binary())})
-
-    return blocks.groupBy("_band", "_key", "_pi", "_pj").applyInArrow(run, "a binary, b binary").distinct()
+            ys = ys[(root[ys] != root[x]) & (100 * np.minimum(size[ys], size[x]) >= percent * np.maximum(size[ys], size[x]))]
+            agree = (sig[ys] == sig[x]).sum(1)
+            good = agree >= LEAST_AGREE * HASHES
+            found.append(np.stack([agree[good], np.full(int(good.sum()), x), ys[good]], 1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        joined = list(range(int(root.max()) + 1))
+
+        def top(r: int) -> int:
+            while joined[r] != r:
+                joined[r] = joined[joined[r]]
+                r = joined[r]
+            return r
+
+        links = []
+        for _, x, y in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
+            p, q = top(int(root[x])), top(int(root[y]))
+            if p != q and _alike(full[x], full[y], percent):
+                joined[p] = q
+                links.append((node[x], node[y]))
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return blocks.groupBy("_family", "_pi", "_pj").applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id") -> DataFrame:
@@ -250,8 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     full = settle(_set_rows(docs, nodes.join(rows.select("_node").distinct(), "_node")))
     links = settle(_linked(likely, full, percent))
     roots = settle(components(links))
-    more = settle(_cross_pairs(rows, roots, nodes))
-    links = _linked(more, full, percent).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = _cross_links(rows, roots, nodes, full, percent).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = components(links)
     named = nodes.join(roots, nodes["_node"] == roots["node"], "left").withColumn("root", F.coalesce("root", "_node"))
     groups = named.groupBy("root").agg(F.min("_least").alias("component_id"), F.min("_first").alias("_first"))
