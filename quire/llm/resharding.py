@@ -70,10 +70,13 @@ def capacities(total: int, shards: int, keep: list[float]) -> list[int]:
     return [base + (j in first) for j in range(shards)]
 
 
-SIZE = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
 KEY = "size", "id", "file", "row"
 
 
+def size_of(text: str = "text") -> Column:
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
+
+
 class Plan:
     """Where rows go: ``moves`` are (old shard, new shard, rows); ``cuts`` has, for
     each old shard, the first key (size, id, file, row) of each stretch of its rows
@@ -86,7 +89,7 @@ class Plan:
 
     def assign(self, docs: DataFrame, *columns: str) -> DataFrame:
         """The named columns of docs, the row's place, size, old_shard and shard."""
-        mine = {"_size": SIZE, "_id": F.col(self.id_column).cast("long"), "_old": self.old_shard.cast("int")}
+        mine = {"_size": size_of(), "_id": F.col(self.id_column).cast("long"), "_old": self.old_shard.cast("int")}
         rows = placed(docs.withColumns(mine), *columns, *mine)
         if not self.cuts:
             return rows.withColumnsRenamed({"_size": "size", "_old": "old_shard"}).withColumn("shard", F.lit(None).cast("int")).drop("_id")
@@ -111,7 +114,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, id
     16. Null ids are least; rows alike in size and id are told apart by place, so
     repeated rows are moved like others. An empty table has an empty plan.
     """
-    mine = {"_size": SIZE, "_id": F.col(id_column).cast("long"), "_old": old_shard.cast("int")}
+    mine = {"_size": size_of(), "_id": F.col(id_column).cast("long"), "_old": old_shard.cast("int")}
     rows = ranked(placed(docs.withColumns(mine), *mine), ["_old"], ["_size", "_id", FILE, ROW])
     rows = rows.withColumnRenamed("_rank", "_at")
     counts = {r[0]: r[1] for r in rows.groupBy("_old").count().collect()}
