@@ -89,17 +89,17 @@ class Plan:
 
     def assign(self, docs: DataFrame, *columns: str) -> DataFrame:
         """The named columns of docs, the row's place, size, old_shard and shard."""
-        mine = {"_size": size_of(), "_id": F.col(self.id_column).cast("long"), "_old": self.old_shard.cast("int")}
+        mine = {"_rs_size": size_of(), "_rs_id": F.col(self.id_column).cast("long"), "_rs_old": self.old_shard.cast("int")}
         rows = placed(docs.withColumns(mine), *columns, *mine)
         if not self.cuts:
-            return rows.withColumnsRenamed({"_size": "size", "_old": "old_shard"}).withColumn("shard", F.lit(None).cast("int")).drop("_id")
+            return rows.withColumnsRenamed({"_rs_size": "size", "_rs_old": "old_shard"}).withColumn("shard", F.lit(None).cast("int")).drop("_rs_id")
         kinds = dict(zip(KEY, ("long",) * 4))
         entry = lambda c: F.struct(*[F.lit(v).cast(kinds[k]).alias(k) for k, v in zip(KEY, c[:4])], F.lit(c[4]).alias("shard"))
         table = F.create_map(*[x for i, cs in self.cuts.items() for x in (F.lit(i), F.array(*map(entry, cs)))])
-        key = F.struct(*[F.col(c).alias(k) for k, c in zip(KEY, ("_size", "_id", FILE, ROW))])
-        at_or_before = F.filter(table[F.col("_old")], lambda c: F.struct(*[c[k].alias(k) for k in KEY]) <= key)
+        key = F.struct(*[F.col(c).alias(k) for k, c in zip(KEY, ("_rs_size", "_rs_id", FILE, ROW))])
+        at_or_before = F.filter(table[F.col("_rs_old")], lambda c: F.struct(*[c[k].alias(k) for k in KEY]) <= key)
         out = rows.withColumn("shard", F.element_at(at_or_before, -1)["shard"])
-        return out.withColumnsRenamed({"_size": "size", "_old": "old_shard"}).drop("_id")
+        return out.withColumnsRenamed({"_rs_size": "size", "_rs_old": "old_shard"}).drop("_rs_id")
 
 
 def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, id_column: str = "doc_id") -> Plan:
