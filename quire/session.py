@@ -43,10 +43,12 @@ def widen(df: DataFrame, key: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for cut lineage; one of our own only where
-    none is named, as in tests."""
+    none is named and the master is local, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder all executors share")
     own = getattr(spark, "_quire_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
