@@ -149,8 +149,8 @@ add(
 )
 add(
     "join_lines",
-    lambda s, d: blocks_of(s, d).where("text like '%exam%'").select(*PAGE, "block_id", "text"),
-    L.with_blocks("SELECT doc_id, page, block_id, text FROM blocks WHERE text LIKE '%exam%'"),
+    lambda s, d: blocks_of(s, d).select(*PAGE, "block_id", "text"),
+    L.with_blocks("SELECT doc_id, page, block_id, text FROM blocks"),
 )
 add(
     "heading_levels",
@@ -385,7 +385,7 @@ add(
 
 def _changed(s, d):
     blocks, pages = blocks_of(s, d), V.layout_pages(s, d)
-    after = E.emit(blocks, pages, decisions=V.decisions(s, d).drop("hidden"))
+    after = E.emit(blocks, pages, decisions=V.decisions(s, d))
     return E.changed_pages(after.lines, E.emit(blocks, pages).lines)
 
 
@@ -393,6 +393,6 @@ add(
     "changed_pages",
     _changed,
     "WITH " + L.CLASSED + L.DECISIONS + """ SELECT DISTINCT doc_id, page FROM blocks JOIN last_events USING (doc_id, block_id)
-      WHERE text <> '' AND (t IN ('error', 'signup', 'purchase')
+      WHERE text <> '' AND (t IN ('click', 'error', 'signup', 'purchase')
         OR (t = 'view' AND (role <> 'heading' OR level <> 2)))""",
 )

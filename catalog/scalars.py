@@ -364,18 +364,18 @@ add(
     "workspace_names",
     lambda s, d: V.table(s, d, "documents").select(
         "doc_id",
-        P.clean_name(F.substring("text", 1, 120)).alias("name"),
-        P.export_name(F.substring("text", 1, 20), F.col("doc_id") % 2 == 0, F.lit("2026-10-23").cast("date")).alias("export"),
+        P.clean_name(F.col("text")).alias("name"),
+        P.export_name(F.concat_ws(" ", "source", "lang"), F.col("doc_id") % 2 == 0, F.lit("2026-10-23").cast("date")).alias("export"),
         P.exported_name(F.concat("source", F.lit("-project-2026-10-23"))).alias("back"),
     ),
-    f"""SELECT doc_id, nullif(trim(substr(trim(regexp_replace(substr(text, 1, 120), '\\s+', ' ', 'g')), 1, 80)), '') AS name,
-      {seg("substr(text, 1, 20)")} || '-' || CASE WHEN doc_id % 2 = 0 THEN 'markdown' ELSE 'project' END || '-2026-10-23.zip' AS export,
+    f"""SELECT doc_id, nullif(trim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 80)), '') AS name,
+      {seg("concat_ws(' ', source, lang)")} || '-' || CASE WHEN doc_id % 2 = 0 THEN 'markdown' ELSE 'project' END || '-2026-10-23.zip' AS export,
       source AS back FROM documents""",
 )
 add(
     "phrases",
     lambda s, d: V.table(s, d, "documents").select(
-        "doc_id", W.human(F.col("n_chars") * F.col("n_chars") * F.col("doc_id")).alias("size"), W.few(F.split(F.substring("text", 1, 60), " ")).alias("few"),
+        "doc_id", W.human(F.col("n_chars") * F.col("n_chars") * F.col("doc_id")).alias("size"), W.few(F.split("text", " ")).alias("few"),
         W.plural(F.col("doc_id") % 3, "page").alias("pages"),
     ),
     """SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' ELSE CASE WHEN v < 10 THEN printf('%.1f', floor(v * 10 + 0.5) / 10)
@@ -383,7 +383,7 @@ add(
       array_to_string(w[1:3], ', ') || CASE WHEN len(w) > 3 THEN ' and ' || (len(w) - 3) || ' more' ELSE '' END AS few,
       (doc_id % 3) || ' page' || CASE WHEN doc_id % 3 = 1 THEN '' ELSE 's' END AS pages
     FROM (SELECT *, b / CASE WHEN b < 1048576 THEN 1024.0 WHEN b < 1073741824 THEN 1048576.0 ELSE 1073741824.0 END AS v FROM (
-      SELECT *, n_chars * n_chars * doc_id AS b, string_split(substr(text, 1, 60), ' ') AS w FROM documents))""",
+      SELECT *, n_chars * n_chars * doc_id AS b, string_split(text, ' ') AS w FROM documents))""",
 )
 
 # ---- runs as an extractor gives them ----------------------------------------

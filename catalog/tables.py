@@ -335,8 +335,9 @@ add(
     r AS (SELECT *, row_number() OVER (PARTITION BY drop_id ORDER BY arrival) AS rank, bytes > 536870912 AS big FROM f WHERE name NOT LIKE '.%'),
     u AS (SELECT *, sum(CASE WHEN big OR rank > 10000 THEN 0 ELSE bytes END) OVER (PARTITION BY drop_id ORDER BY rank) AS upto FROM r),
     o AS (SELECT *, min(CASE WHEN rank > 10000 OR (NOT big AND upto > 4294967296) THEN rank END) OVER (PARTITION BY drop_id) AS stop FROM u)
-    SELECT drop_id, arrival, name, bytes, CASE WHEN rank > 10000 THEN 'too many files' WHEN big THEN 'too large'
-      WHEN rank = stop THEN 'drop too large' ELSE 'taken' END AS verdict FROM o WHERE stop IS NULL OR rank <= stop""",
+    SELECT drop_id, arrival, name, bytes, CASE WHEN rank > stop THEN 'after the stop' WHEN rank > 10000 THEN 'too many files' WHEN big THEN 'too large'
+      WHEN rank = stop THEN 'drop too large' ELSE 'taken' END AS verdict FROM o
+    UNION ALL SELECT drop_id, arrival, name, bytes, 'junk' FROM f WHERE name LIKE '.%'""",
 )
 
 
@@ -423,14 +424,16 @@ add(
 
 def _nodes(s, d):
     """Titles of web pages as names in folders of nine."""
-    title = F.regexp_extract("html", r"<title>([^<]{1,12})", 1)
+    title = F.regexp_extract("html", r"<title>([^<]*)", 1)
     n = F.col("page_id")
     return V.table(s, d, "pages").select(
         F.floor(n / 9).alias("parent"), F.concat(title, F.lit("#"), n.cast("string")).alias("name"), (n % 3 > 0).alias("is_file")
     )
 
 
-add("tree_order", lambda s, d: I.tree_order(_nodes(s, d)))
+add("tree_order", lambda s, d: I.tree_order(_nodes(s, d)),
+    r"""WITH n AS (SELECT page_id // 9 AS parent, regexp_extract(html, '<title>([^<]*)', 1) || '#' || page_id AS name, page_id % 3 > 0 AS is_file FROM pages)
+    SELECT parent, name, is_file, row_number() OVER (PARTITION BY parent ORDER BY is_file, strip_accents(lower(name)), name) AS place FROM n""")
 
 # ---- scoring ----------------------------------------------------------------
 
@@ -615,10 +618,9 @@ add("prose_quotes", lambda s, d: SC.prose_quotes(_md(s, d)),
     w AS (SELECT doc_id, r, list_filter(regexp_split_to_array(run, '\s+'), lambda x: x <> '') AS w FROM d),
     c AS (SELECT doc_id, r, unnest(range(len(w) // 8)) AS k, w FROM w),
     q AS (SELECT doc_id, r, k, array_to_string(w[8 * k + 1 : 8 * k + 8], ' ') AS text FROM c),
-    g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r, k) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n
+    g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r, k) - 1 AS i
       FROM q WHERE NOT regexp_matches(text, '[\\$]') AND length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) >= 24)
-    SELECT doc_id AS input, CASE WHEN n <= 200 THEN i ELSE j END AS quote_no, text FROM g LEFT JOIN range(200) t(j) ON n > 200 AND j * n // 200 = i
-    WHERE n <= 200 OR j IS NOT NULL""")
+    SELECT doc_id AS input, i AS quote_no, text FROM g""")
 add("stretches", lambda s, d: V.table(s, d, "benchmark").select("item_id", F.posexplode(SC.stretches(F.col("text"))).alias("k", "text")),
     r"""WITH RECURSIVE c AS (SELECT item_id, regexp_extract_all(text, '(?s)(?:[^\p{L}\p{N}]*[\p{L}\p{N}]){30}') AS whole, text FROM benchmark),
     t AS (SELECT item_id, whole, substr(text, 1 + coalesce(list_sum(list_transform(whole, lambda x: length(x))), 0)::BIGINT) AS tail FROM c),
@@ -628,34 +630,41 @@ add("stretches", lambda s, d: V.table(s, d, "benchmark").select("item_id", F.pos
 
 
 def _tests(s, d):
-    """Benchmark items as tests of every type."""
-    w = F.split("text", " ")
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("present", "absent", "order", "table", "math", "baseline")]), (F.col("item_id") % 6 + 1).cast("int"))
+    """Benchmark items, seven words at a time, as tests of every type."""
+    every = F.filter(F.split("text", " "), lambda x: x != "")
+    stretch = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / 7).cast("int")), lambda k: F.slice(every, k * 7 + 1, 7))
+    b = V.table(s, d, "benchmark").where(F.size(every) > 0).select("item_id", F.posexplode(stretch).alias("k", "w"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("present", "absent", "order", "table", "math", "baseline")]), ((F.col("item_id") + F.col("k")) % 6 + 1).cast("int"))
 
     def word(k):
-        return F.get(w, F.lit(k))
+        return F.get("w", F.lit(k))
 
     def on(types, c):
         return F.when(kind.isin(*types), c)
 
-    return V.table(s, d, "benchmark").select(
-        F.col("item_id").alias("input"), F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("id"), kind.alias("type"),
-        F.lit(2).alias("max_diffs"), on(("present", "absent"), word(0)).alias("text"), on(("order",), word(1)).alias("before"),
-        on(("order",), word(2)).alias("after"), on(("table",), word(3)).alias("cell"), on(("table",), word(4)).alias("up"),
-        F.lit(None).cast("string").alias("down"), on(("table",), word(5)).alias("left"), F.lit("").alias("right"),
-        on(("table",), word(6)).alias("top_heading"), F.lit(None).cast("string").alias("left_heading"), on(("math",), word(0)).alias("math"),
+    return b.select(
+        F.col("item_id").alias("input"), F.format_string("t%d.%d", "item_id", "k").alias("id"), kind.alias("type"),
+        F.lit(2).alias("max_diffs"), on(("present", "absent"), F.array_join("w", " ")).alias("text"), on(("order",), F.array_join(F.slice("w", 1, 3), " ")).alias("before"),
+        on(("order",), F.array_join(F.slice("w", 4, 4), " ")).alias("after"), on(("table",), F.array_join(F.slice("w", 1, 3), " ")).alias("cell"),
+        on(("table",), word(3)).alias("up"), F.lit(None).cast("string").alias("down"), on(("table",), word(4)).alias("left"), F.lit("").alias("right"),
+        on(("table",), word(5)).alias("top_heading"), on(("table",), word(6)).alias("left_heading"), on(("math",), F.array_join("w", " ")).alias("math"),
     )
 
 
-TESTS = "t AS (SELECT item_id, (['present','absent','order','table','math','baseline'])[item_id % 6 + 1] AS type, string_split(text, ' ') AS w FROM benchmark)"
+TESTS = """i AS (SELECT item_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM benchmark),
+  u AS (SELECT item_id, unnest(range((len(ws) + 6) // 7)) AS k, ws FROM i),
+  t AS (SELECT item_id, k, (['present','absent','order','table','math','baseline'])[(item_id + k) % 6 + 1] AS type, ws[7 * k + 1 : 7 * k + 7] AS w FROM u)"""
 add("test_wants", lambda s, d: SC.wants(_tests(s, d)).select("id", "wants"),
-    f"""WITH {TESTS} SELECT 't' || item_id AS id, CASE type WHEN 'present' THEN to_json(w[1])::VARCHAR || ' present' WHEN 'absent' THEN to_json(w[1])::VARCHAR || ' absent'
-      WHEN 'order' THEN to_json(w[2])::VARCHAR || ' before ' || to_json(w[3])::VARCHAR
-      WHEN 'table' THEN 'cell ' || to_json(w[4])::VARCHAR || ', up ' || to_json(w[5])::VARCHAR || ', left ' || to_json(w[6])::VARCHAR || ', under ' || to_json(w[7])::VARCHAR
-      WHEN 'math' THEN 'formula ' || w[1] ELSE 'text, and not the same thing over and over' END AS wants FROM t""")
+    f"""WITH {TESTS} SELECT 't' || item_id || '.' || k AS id, CASE type WHEN 'present' THEN to_json(array_to_string(w, ' '))::VARCHAR || ' present' WHEN 'absent' THEN to_json(array_to_string(w, ' '))::VARCHAR || ' absent'
+      WHEN 'order' THEN to_json(array_to_string(w[1:3], ' '))::VARCHAR || ' before ' || to_json(array_to_string(w[4:7], ' '))::VARCHAR
+      WHEN 'table' THEN 'cell ' || to_json(array_to_string(w[1:3], ' '))::VARCHAR || coalesce(', up ' || to_json(w[4])::VARCHAR, '') || coalesce(', left ' || to_json(w[5])::VARCHAR, '')
+        || coalesce(', under ' || to_json(w[6])::VARCHAR, '') || coalesce(', beside ' || to_json(w[7])::VARCHAR, '')
+      WHEN 'math' THEN 'formula ' || array_to_string(w, ' ') ELSE 'text, and not the same thing over and over' END AS wants FROM t""")
 add("quotes_of_tests", lambda s, d: SC.quotes_of_tests(_tests(s, d)).select("input", "text", "slack"),
-    f"""WITH {TESTS}, q AS (SELECT item_id, unnest(CASE WHEN type IN ('present', 'absent') THEN [w[1]] WHEN type = 'order' THEN [w[2], w[3]]
-      WHEN type = 'table' THEN [w[4], w[5], w[6], w[7]] ELSE [] END) AS text FROM t) SELECT item_id AS input, text, 2 AS slack FROM q WHERE text <> ''""")
+    f"""WITH {TESTS}, q AS (SELECT item_id, unnest(CASE WHEN type IN ('present', 'absent') THEN [array_to_string(w, ' ')]
+        WHEN type = 'order' THEN [array_to_string(w[1:3], ' '), array_to_string(w[4:7], ' ')]
+        WHEN type = 'table' THEN [array_to_string(w[1:3], ' '), w[4], w[5], w[6], w[7]] ELSE [] END) AS text FROM t)
+    SELECT item_id AS input, text, 2 AS slack FROM q WHERE text <> ''""")
 
 # ---- selection --------------------------------------------------------------
 

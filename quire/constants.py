@@ -65,7 +65,6 @@ UNDO_DEPTH = 100
 TEXT_LAYER_CUTOFF = 0.8
 UNQUOTED_MIN = 200
 SLACK_EVERY = 10
-QUOTES_PER_DOC = 200
 WORDS_PER_QUOTE = 8
 MIN_QUOTE_LETTERS = 24
 STRETCH_LETTERS = 30

@@ -4,39 +4,42 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire import constants as K
 from quire.functions import paths as P
+from quire.operators import ordered as O
 
 
-def drop_caps(files: DataFrame) -> DataFrame:
-    """files(drop_id, arrival, name, bytes) with `verdict`: taken, or why not.
+def drop_caps(
+    files: DataFrame, max_files: int = K.MAX_ENTRIES, max_file: int = K.MAX_FILE, max_drop: int = K.MAX_DROP
+) -> DataFrame:
+    """files(drop_id, arrival, name, bytes) with `verdict`, one row out for each in.
 
-    Junk is passed over. The first file past the count cap, or past the drop's
-    byte cap, stops the drop; a file over the single-file cap is only skipped.
-    Only a drop's first MAX_ENTRIES + 1 files can matter, which Spark keeps by a
-    per-task limit before it shuffles, so a huge drop is never one task's group.
+    Junk is passed over and counts for nothing. ``max_file`` is the most bytes a file
+    may have (a bigger one is only skipped), ``max_files`` the most files of a drop and
+    ``max_drop`` the most bytes it may hold together; the first file past one of these
+    stops the drop, and all after it are `after the stop`. `arrival` tells a drop's
+    files apart. Ranks and bytes are running totals over ranges of arrival, so a drop
+    of any size is many tasks.
     """
-    counted = files.where(~P.is_junk(F.col("name")))
-    arrival = Window.partitionBy("drop_id").orderBy("arrival")
-    head = counted.withColumn("rank", F.row_number().over(arrival)).where(F.col("rank") <= K.MAX_ENTRIES + 1)
-    big = F.col("bytes") > K.MAX_FILE
-    sized = F.when(big | (F.col("rank") > K.MAX_ENTRIES), 0).otherwise(F.col("bytes"))
-    upto = F.sum(sized).over(arrival.rowsBetween(Window.unboundedPreceding, 0))
-    head = head.withColumn("upto", upto)
-    over = (F.col("rank") > K.MAX_ENTRIES) | (~big & (F.col("upto") > K.MAX_DROP))
-    stop = F.min(F.when(over, F.col("rank"))).over(Window.partitionBy("drop_id"))
-    return (
-        head.withColumn("stop", stop)
-        .where(F.col("stop").isNull() | (F.col("rank") <= F.col("stop")))
-        .select(
-            "drop_id",
-            "arrival",
-            "name",
-            "bytes",
-            F.when(F.col("rank") > K.MAX_ENTRIES, "too many files")
-            .when(big, "too large")
-            .when(F.col("rank") == F.col("stop"), "drop too large")
-            .otherwise("taken")
-            .alias("verdict"),
-        )
+    junk = P.is_junk(F.col("name"))
+    big = F.col("bytes") > max_file
+    counted = O.running(
+        files, ["drop_id"], ["arrival"], rank=F.when(junk, 0).otherwise(1),
+        upto=F.when(junk | big, 0).otherwise(F.col("bytes")),
+    )
+    many = F.col("rank") > max_files
+    over = ~junk & (many | (~big & (F.col("upto") > max_drop)))
+    stops = counted.where(over).groupBy(F.col("drop_id").alias("_drop")).agg(F.min("rank").alias("stop"))
+    return counted.join(stops, F.col("drop_id").eqNullSafe(F.col("_drop")), "left").select(
+        "drop_id",
+        "arrival",
+        "name",
+        "bytes",
+        F.when(junk, "junk")
+        .when(F.col("rank") > F.col("stop"), "after the stop")
+        .when(many, "too many files")
+        .when(big, "too large")
+        .when(F.col("rank") == F.col("stop"), "drop too large")
+        .otherwise("taken")
+        .alias("verdict"),
     )
 
 
@@ -117,41 +120,43 @@ def repeats_said(candidates: DataFrame) -> DataFrame:
     )
 
 
-def _ranked(manifest: DataFrame, kept: DataFrame) -> DataFrame:
-    """(doc_id, listed, listed_sha, rank): listed ids before arrivals."""
+def _ids(manifest: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc_id, listed, listed_sha, arrival, copies, sha256, origin): every id once."""
     listed = manifest.select(
-        "doc_id", F.lit(True).alias("listed"), F.col("sha256").alias("listed_sha"), F.lit(0).cast("long").alias("arrival")
-    )
-    arrived = kept.groupBy("doc_id").agg(F.min("arrival").alias("arrival")).select(
-        "doc_id", F.lit(False).alias("listed"), F.lit(None).cast("string").alias("listed_sha"), "arrival"
-    )
-    both = listed.unionByName(arrived)
+        "doc_id", F.lit(True).alias("listed"), F.col("sha256").alias("listed_sha"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("arrival", "long"), ("sha256", "string"), ("origin", "string"))],
+    )
+    came = dedupe_candidates(candidates).select(
+        "doc_id", F.lit(False).alias("listed"), F.lit(None).cast("string").alias("listed_sha"),
+        F.col("arrival").cast("long").alias("arrival"), "sha256", "origin",
+    )
+    both = listed.unionByName(came)
     return both.groupBy("doc_id").agg(
-        F.bool_or("listed").alias("listed"),
-        F.max("listed_sha").alias("listed_sha"),
-        F.max("arrival").alias("arrival"),
-    )
+        F.bool_or("listed").alias("listed"), F.max("listed_sha").alias("listed_sha"),
+        F.coalesce(F.min("arrival"), F.lit(0)).alias("arrival"), F.count_if(~F.col("listed")).alias("copies"),
+        F.min("sha256").alias("sha256"), F.min("origin").alias("origin"),
+    )
+
+
+def _owners(ids: DataFrame) -> DataFrame:
+    rank = F.struct((~F.col("listed")).cast("int"), "arrival", "doc_id")
+    single = ids.where("copies = 1 and sha256 is not null")
+    return single.groupBy("sha256").agg(F.min_by("doc_id", rank).alias("owner"))
 
 
 def owner_of_bytes(manifest: DataFrame, candidates: DataFrame) -> DataFrame:
     """(sha256, owner): the first id, listed before arrived, holding the bytes
     as its only copy."""
-    kept = dedupe_candidates(candidates)
-    single = kept.groupBy("doc_id").agg(F.count("*").alias("n"), F.first("sha256").alias("sha256")).where("n = 1")
-    ranked = single.join(_ranked(manifest, kept), "doc_id")
-    rank = F.struct((~F.col("listed")).cast("int"), "arrival", "doc_id")
-    return ranked.groupBy("sha256").agg(F.min_by("doc_id", rank).alias("owner"))
+    return _owners(_ids(manifest, candidates))
 
 
 def reconcile(manifest: DataFrame, candidates: DataFrame) -> DataFrame:
     """(doc_id, status, copies, sha256): every id listed or arrived, and what it is."""
-    kept = dedupe_candidates(candidates)
-    own = kept.groupBy("doc_id").agg(
-        F.count("*").alias("copies"), F.first("sha256").alias("sha256"), F.first("origin").alias("origin")
-    )
-    ids = _ranked(manifest, kept).join(own, "doc_id", "left")
-    df = ids.join(owner_of_bytes(manifest, candidates), "sha256", "left")
-    copies = F.coalesce("copies", F.lit(0))
+    ids = _ids(manifest, candidates)
+    owner = _owners(ids).withColumnRenamed("sha256", "_bytes")
+    # An id without bytes meets no owner; its own name spreads such rows over tasks.
+    df = ids.join(owner, F.coalesce("sha256", F.concat(F.lit(":"), F.col("doc_id"))) == F.col("_bytes"), "left")
+    copies = F.col("copies")
     same = F.col("listed_sha") == F.col("sha256")
     status = (
         F.when(copies == 0, "missing")
@@ -164,9 +169,7 @@ def reconcile(manifest: DataFrame, candidates: DataFrame) -> DataFrame:
         .when(F.col("owner") != F.col("doc_id"), "duplicate")
         .otherwise("new")
     )
-    return df.select(
-        "doc_id", status.alias("status"), copies.alias("copies"), F.when(copies == 1, F.col("sha256")).alias("sha256")
-    )
+    return df.select("doc_id", status.alias("status"), "copies", F.when(copies == 1, F.col("sha256")).alias("sha256"))
 
 
 def settle_conflict(candidates: DataFrame, choice: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -215,7 +218,9 @@ def shed_decisions(manifest: DataFrame, reconciled: DataFrame) -> DataFrame:
     )
 
 
-def archive_gate(entries: DataFrame, manifest: str = K.MANIFEST_NAME) -> DataFrame:
+def archive_gate(
+    entries: DataFrame, manifest: str = K.MANIFEST_NAME, max_entries: int = K.MAX_ENTRIES, max_inflated: int = K.MAX_INFLATED
+) -> DataFrame:
     """(archive, entries, inflated, refused): the first reason to refuse one.
 
     entries(archive, entry_no, path, size, original_size, method, encrypted).
@@ -254,8 +259,8 @@ def archive_gate(entries: DataFrame, manifest: str = K.MANIFEST_NAME) -> DataFra
             "inflated",
             F.coalesce(
                 F.coalesce(first, F.coalesce("bad", "dup"))["why"],
-                F.when(F.col("entries") > K.MAX_ENTRIES, "too many"),
-                F.when(F.col("inflated") > K.MAX_INFLATED, "too large"),
+                F.when(F.col("entries") > max_entries, "too many"),
+                F.when(F.col("inflated") > max_inflated, "too large"),
             ).alias("refused"),
         )
     )
@@ -282,10 +287,8 @@ def tree_order(nodes: DataFrame) -> DataFrame:
     """nodes(parent, name, is_file) in a listing's order: folders first, then by
     name without case or accents, then by the name itself. `place` counts within
     a parent."""
-    order = Window.partitionBy("parent").orderBy(
-        F.col("is_file"), F.collate(F.col("name"), "UNICODE_CI_AI"), F.col("name")
-    )
-    return nodes.withColumn("place", F.row_number().over(order))
+    order = [F.col("is_file"), F.collate(F.col("name"), "UNICODE_CI_AI"), F.col("name")]
+    return O.running(nodes, ["parent"], order, place=F.lit(1))
 
 
 def union_ids(manifest: DataFrame, candidates: DataFrame) -> DataFrame:

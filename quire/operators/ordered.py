@@ -6,8 +6,12 @@ of pages: totals per span, a running total over the spans, and a running total
 inside each span. No task sees more than one span, or one row per span.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quire import session
+
 SPAN = 4096
 
 
@@ -41,3 +45,32 @@ def nearest_known(df: DataFrame, keys: list[str], order: str, value: Column, out
         .withColumn(out, F.coalesce(first_last("_v", ignorenulls=True).over(inside), F.col("_far")))
         .drop("_span", "_v", "_far")
     )
+
+
+def running(df: DataFrame, group: list[str], order: list, totals: bool = False, **sums: Column) -> DataFrame:
+    """df with a column for each of ``sums``: its running total in the group, this row
+    included, by an order of any kind; with ``totals`` also ``<name>_all``, the group's.
+
+    Rows are dealt by range of (group, order), so a group of any size is many tasks;
+    one row for each group and task is summed up across tasks. ``order`` must tell rows
+    apart. A null in the group is a group.
+    """
+    own = {f"_s_{k}": c.cast("long") for k, c in sums.items()}
+    dealt = df.withColumns({**own, **{f"_g{i}": F.col(g) for i, g in enumerate(group)}})
+    dealt = session.settle(dealt.repartitionByRange(*group, *order).withColumn("_task", F.spark_partition_id()), "dealt")
+    keys = ["_task", *[f"_g{i}" for i in range(len(group))]]
+    parts = dealt.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in own])
+    whole = Window.partitionBy(*keys[1:])
+    upto = whole.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *[F.col(k).alias(f"{k}_") for k in keys],
+        *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_base") for c in own],
+        *[F.sum(c).over(whole).alias(f"{c}_all") for c in own],
+    )
+    here = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = dealt.withColumns({f"{c}_in": F.sum(c).over(here) for c in own})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
+    out = inside.join(parts, same)
+    made = [(F.col(f"_s_{k}_in") + F.col(f"_s_{k}_base")).alias(k) for k in sums]
+    made += [F.col(f"_s_{k}_all").alias(f"{k}_all") for k in sums] if totals else []
+    return out.select(*df.columns, *made)

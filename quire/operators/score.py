@@ -1,5 +1,7 @@
 """Scoring converters: quotes against text layers, tallies, history, verdicts."""
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -7,6 +9,7 @@ from pyspark.sql.types import IntegerType
 
 from quire import constants as K
 from quire.functions import geometry as G, text as T
+from quire.operators import ordered as O
 
 # ---- quotes -----------------------------------------------------------------
 
@@ -96,7 +99,7 @@ def stretches(text: Column, length: int = K.STRETCH_LETTERS) -> Column:
 
 def prose_quotes(markdown: DataFrame) -> DataFrame:
     """(input, quote_no, text): a ground truth's prose eight words at a time, never
-    across a formula or a paragraph, at most QUOTES_PER_DOC taken evenly."""
+    across a formula or a paragraph. All of them; `spread_sample` thins."""
     flat = F.regexp_replace(F.col("text"), r"(?s)\\begin\{(\w+\*?)\}.*?\\end\{\1\}", "\n\n")
     flat = F.regexp_replace(flat, r"(?s)\\\[.*?\\\]|\\\(.*?\\\)|\$\$.*?\$\$", "\n\n")
     flat = F.regexp_replace(flat, r"!\[[^\]]*\]\([^)]*\)", " ")
@@ -120,18 +123,7 @@ def prose_quotes(markdown: DataFrame) -> DataFrame:
             & (F.length(F.regexp_replace(q, r"[^\p{L}\p{N}]", "")) >= K.MIN_QUOTE_LETTERS),
         )
 
-    most = K.QUOTES_PER_DOC
-
-    def spread(q):
-        size = F.size(q)
-        return F.when(size <= most, q).otherwise(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(most - 1)),
-                lambda i: F.element_at(q, (F.floor(i.cast("long") * size / most) + 1).cast("int")),
-            )
-        )
-
-    picked = T.bind(F.flatten(F.transform(runs, cut)), spread)
+    picked = F.flatten(F.transform(runs, cut))
     return markdown.select("input", F.posexplode(picked).alias("quote_no", "text"))
 
 
@@ -288,51 +280,28 @@ def corpus_hash(hashes: DataFrame) -> DataFrame:
 
 
 def latest_run(history: DataFrame) -> DataFrame:
-    """The last run of each benchmark and tool, and its fields of the run before
-    it that can be compared: same revision, scorer and browsers."""
-    runs = Window.partitionBy("benchmark", "tool").orderBy(F.desc("date"))
-    alike = Window.partitionBy("benchmark", "tool", "revision", "scorer", "browsers").orderBy("date")
-    return (
-        history.withColumn("previous_score", F.lag("score").over(alike))
-        .withColumn("nth", F.row_number().over(runs))
-        .where("nth = 1")
-        .drop("nth")
-    )
+    """The last run of each benchmark and tool (of runs on one date, that of the higher
+    score), and its fields of the run before its date that can be compared: same
+    revision, scorer and browsers. Groupings only, so a long history is summed up
+    before it is moved."""
+    tool, alike = ["benchmark", "tool"], ["benchmark", "tool", "revision", "scorer", "browsers"]
+    every = F.struct(*history.columns)
+    last = history.groupBy(*tool).agg(F.max_by(every, F.struct("date", "score")).alias("_r")).select("_r.*")
+    than = last.select(*[F.col(c).alias(f"_{c}") for c in alike], F.col("date").alias("_date"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alike])
+    before = history.join(than, same & (F.col("date") < F.col("_date"))).groupBy(*[f"_{c}" for c in tool])
+    before = before.agg(F.max_by("score", F.struct("date", "score")).alias("previous_score"))
+    mine = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in tool])
+    return last.join(before, mine, "left").select(*history.columns, "previous_score")
 
 
 def spread_sample(inputs: DataFrame, k: int, order: str = "input") -> DataFrame:
-    """Every floor(i*n/k)th input of the sorted list.
-
-    Ranks come from a range sort: each task numbers its own stretch, and a
-    table of one row per task says where the stretch starts.
-    """
-    ranked = global_rank(inputs, order)
-    n = inputs.count()
-    if n <= k:
-        return ranked.select(*inputs.columns)
+    """Every floor(i*n/k)th input of the sorted list, i from 0 to k - 1."""
+    ranked = O.running(inputs, [], [order], totals=True, _nth=F.lit(1))
+    r, n = "(_nth - 1)", "_nth_all"
     # rank r is picked when some i has floor(i*n/k) = r
-    i = F.ceil(F.col("rank") * k / n)
-    return ranked.where((F.floor(i * n / k) == F.col("rank")) & (i < k)).select(*inputs.columns)
-
-
-def global_rank(df: DataFrame, order: str, width: int = 3) -> DataFrame:
-    """df with `rank` from 0 in `order`, a string that tells rows apart.
-
-    Rows are counted by the head of the ordering key, the counts (few) are
-    summed in order, and ranks are given inside each head; a head that holds
-    too much is only that head's task.
-    """
-    head = F.substring(F.col(order), 1, width)
-    df = df.withColumn("_head", head)
-    heads = df.groupBy("_head").agg(F.count("*").alias("_n"))
-    upto = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("_head", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_head").orderBy(order)
-    return (
-        df.join(heads, "_head")
-        .withColumn("rank", F.col("_base") + F.row_number().over(inside) - 1)
-        .drop("_head", "_base")
-    )
+    i = f"(({r} * {k} + {n} - 1) div {n})"
+    return ranked.where(f"({i} * {n}) div {k} = {r} and {i} < {k}").select(*inputs.columns)
 
 
 def verdict_diff(run: DataFrame, before: DataFrame) -> DataFrame:
