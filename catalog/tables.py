@@ -114,7 +114,7 @@ FIDELITY = rf""", layer AS (SELECT doc_id, page, string_agg(text, ' ' ORDER BY l
   texts AS (
     SELECT doc_id, page, 'layer' AS side, text FROM layer
     UNION ALL SELECT doc_id, page, 'drop', CASE WHEN role = 'numbered' THEN regexp_replace(marker, '\d', '', 'g') ELSE marker END FROM blocks
-    UNION ALL SELECT doc_id, page, 'seen', CASE WHEN item AND role <> 'bullet' THEN regexp_extract(mk, '^\d+') || ' ' ELSE '' END || text FROM emitted),
+    UNION ALL SELECT doc_id, page, 'seen', regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\]\([^)]*\)', ' ', 'g') FROM md WHERE block_id IS NOT NULL),
   counts AS (SELECT doc_id, page, ch, count(*) FILTER (side = 'layer') AS l, count(*) FILTER (side = 'drop') AS d,
       count(*) FILTER (side = 'seen') AS s
     FROM (SELECT doc_id, page, side, {LETTERS.format(c='text')} AS ch FROM texts) GROUP BY 1, 2, 3),

@@ -2,7 +2,6 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quire import constants as K
 from quire.functions import text as T
 
 PAGE = ["doc_id", "page"]
@@ -126,25 +125,6 @@ def spare_word_filter(missing: DataFrame, spare: DataFrame, keys: list[str]) ->
 # ---- a whole document -------------------------------------------------------
 
 
-def _shown_text() -> Column:
-    """What a written block shows a reader, its item's number included."""
-    number = F.regexp_extract("item.marker", r"^(\d+)", 1)
-    said = F.when(F.col("kind") == "image", F.lit("")).otherwise(F.col("text"))
-    ordered = F.col("is_item") & (F.col("role") != "bullet")
-    return F.when(ordered, F.concat(number, F.lit(" "), said)).otherwise(said)
-
-
-def _commented_text() -> Column:
-    said = F.when(F.col("kind") == "image", F.lit("")).otherwise(F.col("text"))
-    number = F.coalesce(F.col("value"), F.lit(1)).cast("int").cast("string")
-    ordered = F.col("role").isin(*[r for r in K.LIST_ROLES if r != "bullet"])
-    return (
-        F.when(F.col("label").isNotNull(), F.concat(F.lit("page "), F.col("label")))
-        .when(ordered, F.concat(number, F.lit(" "), said))
-        .otherwise(said)
-    )
-
-
 def sides(layers: DataFrame, blocks: DataFrame, markdown, decisions: DataFrame | None = None) -> DataFrame:
     """(doc_id, page, side, text): every text the check weighs, and which side of
     it: 'layer' printed, 'drop' not expected, 'seen' and 'note' written in the
@@ -163,11 +143,14 @@ def sides(layers: DataFrame, blocks: DataFrame, markdown, decisions: DataFrame |
     marker = F.when(F.col("_role") == "numbered", F.regexp_replace("marker", r"\d", "")).otherwise(F.col("marker"))
     lost = F.when(F.coalesce("_gone", F.lit(False)) | F.col("_fixed"), F.col("text")).otherwise(F.lit(""))
     drops = rows.select(*PAGE, F.explode(F.array(marker, lost)).alias("text")).where("text != ''")
-    # A corrected block's words are the person's: left out of the written side.
-    own = markdown.written.where(~F.col("corrected")).select(
+    # What a reader is shown is read off the lines themselves. A corrected block's words
+    # are the person's: left out of the written side.
+    fate = markdown.written.where(~F.col("corrected")).select(*PAGE, "block_id", "hidden")
+    inside = F.regexp_extract("text", r"^[ >]*<!-- (.*) -->$", 1)
+    own = markdown.lines.where("block_id is not null").join(fate, [*PAGE, "block_id"]).select(
         *PAGE,
         F.when(F.col("hidden"), "note").otherwise("seen").alias("side"),
-        F.when(F.col("hidden"), _commented_text()).otherwise(_shown_text()).alias("text"),
+        T.rendered_text(F.when(F.col("hidden"), inside).otherwise(F.col("text"))).alias("text"),
     )
     return (
         layers.select(*PAGE, F.lit("layer").alias("side"), "text")

@@ -163,7 +163,9 @@ def apply_furniture(
         )
     spark = shaped.sparkSession
     if settings is None:
-        settings = spark.createDataFrame([], "doc_id long, page_numbers string, headers_footers string")
+        settings = spark.createDataFrame(
+            [], f"doc_id {shaped.schema['doc_id'].dataType.simpleString()}, page_numbers string, headers_footers string"
+        )
     per_page = by_page(settings.select("doc_id", "page_numbers", "headers_footers"), pages)
     heads = repeated_blocks(raw, pages).select("doc_id", "page", "block_id", "key")
     if line_settings is not None:

@@ -1,5 +1,7 @@
 """Whole pipelines: layout to blocks, blocks to markdown, for all or what changed."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from quire import constants as K
@@ -17,6 +19,21 @@ def read_blocks(runs: DataFrame, links: DataFrame | None = None, pictures: DataF
     return S.structure(settle(lines, "lines"), pictures)
 
 
+def sound_pages(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs of pages that can be laid out, errors): a page with a run that lacks its
+    text, page, box, base or size, or has one that is no finite number, is left out
+    whole and named in errors(doc_id, page, bad_runs, problem), so that one broken page
+    stops no other."""
+    numbers = {"box": [f"box.{c}" for c in ("x", "y", "w", "h")], "base": ["base"], "size": ["size"]}
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    problem = F.when(F.col("page").isNull(), "page").when(F.col("text").isNull(), "text")
+    for name, columns in numbers.items():
+        problem = problem.when(reduce(lambda a, b: a | b, map(bad, columns)), name)
+    wrong = runs.withColumn("problem", problem).where("problem is not null")
+    errors = wrong.groupBy("doc_id", "page").agg(F.count("*").alias("bad_runs"), F.min("problem").alias("problem"))
+    return runs.where("page is not null").join(errors.select("doc_id", "page"), ["doc_id", "page"], "left_anti"), errors
+
+
 def raw_to_runs(raw: DataFrame, pages: DataFrame) -> DataFrame:
     """Pieces as an extractor gives them (matrix, width, height, ascent, descent,
     vertical, flags) to runs with boxes, bases and sizes."""

@@ -13,7 +13,11 @@ from quire.sources import gates
 def read_layout(spark: SparkSession, path: str, fmt: str = "json") -> dict[str, DataFrame]:
     """Layout files, one document a row, as tables: docs, pages, runs, lines,
     pictures, links, blocks."""
-    docs = spark.read.schema(schemas.struct(schemas.LAYOUT_FILE)).format(fmt).load(path)
+    return layout_tables(spark.read.schema(schemas.struct(schemas.LAYOUT_FILE)).format(fmt).load(path))
+
+
+def layout_tables(docs: DataFrame) -> dict[str, DataFrame]:
+    """The tables of documents as they are stored, one a row."""
     pages = docs.select("doc_id", F.explode("pages").alias("p"))
 
     def part(name, number):

@@ -9,8 +9,10 @@ from pyspark.sql.types import StringType, StructType
 
 from quire import schemas
 from quire.operators import decisions as D, emit as E, ingest as I
-from quire.operators.log import OUT, State
-from quire.plans.convert import read_blocks
+from quire.operators.log import NAMES, State, out_of
+from quire.plans.convert import read_blocks, sound_pages
+from quire.session import settle
+from quire.sources.tables import layout_tables
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -22,18 +24,16 @@ def layout_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def convert_stream(docs: DataFrame, out: str, checkpoint: str):
     """Layout files to blocks and markdown lines, each file once. A batch is
-    written under its own number, so a batch run again replaces itself."""
+    written under its own number, so a batch run again replaces itself. Pages that
+    can't be laid out are named under ``errors``; the others go on."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        pages = df.select("doc_id", F.explode("pages").alias("p"))
-        runs = pages.select("doc_id", F.col("p.n").alias("page"), F.posexplode("p.runs").alias("run_no", "r")).select(
-            "doc_id", "page", "run_no", "r.*"
-        )
-        sheets = pages.select("doc_id", F.col("p.n").alias("page"), "p.width", "p.height")
-        blocks = read_blocks(runs)
-        md = E.emit(blocks, sheets)
-        blocks.write.mode("overwrite").parquet(f"{out}/blocks/batch={batch_id}")
-        md.lines.write.mode("overwrite").parquet(f"{out}/md_lines/batch={batch_id}")
+        t = layout_tables(df)
+        runs, errors = sound_pages(t["runs"])
+        blocks = settle(read_blocks(runs, t["links"], t["pictures"]), "blocks")
+        md = E.emit(blocks, t["pages"], pictures=t["pictures"])
+        for name, table in (("blocks", blocks), ("md_lines", md.lines), ("errors", errors)):
+            table.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
 
     return (
         docs.writeStream.foreachBatch(batch)
@@ -77,7 +77,7 @@ class FoldLog(StatefulProcessor):
         for action, block, payload in zip(batch["action"], batch["block_id"], batch["payload"]):
             state.take(action, block, payload if isinstance(payload, str) else None)
         self.state.update((state.saved(),))
-        yield pd.DataFrame([state.row(key[0])], columns=OUT.fieldNames())
+        yield pd.DataFrame([state.row(key[0])], columns=NAMES)
 
     def close(self) -> None:
         pass
@@ -86,7 +86,7 @@ class FoldLog(StatefulProcessor):
 def fold_log_stream(log: DataFrame) -> DataFrame:
     """log(doc_id, seq, action, block_id, payload), as it arrives, folded."""
     return log.groupBy("doc_id").transformWithStateInPandas(
-        statefulProcessor=FoldLog(), outputStructType=OUT, outputMode="Update", timeMode="None"
+        statefulProcessor=FoldLog(), outputStructType=out_of(log), outputMode="Update", timeMode="None"
     )
 
 

@@ -101,6 +101,21 @@ def test_fidelity(spark, decided, lose, want, missing):
     assert [r.word for r in FI.fidelity_missing(weighed).orderBy("pos").collect()] == missing
 
 
+def test_fidelity_reads_the_lines(spark):
+    from types import SimpleNamespace
+
+    docs = {"d": [item("para", "", text="Grease the pump_7 weekly."), item("para", "", text="Log every service.")]}
+    b, p = blocks_df(spark, docs), pages_df(spark, docs)
+    md = E.emit(b, p)
+    layers = spark.createDataFrame([("d", 1, "Grease the pump_7 weekly. Log every service.")], "doc_id string, page int, text string")
+    whole = FI.fidelity_pages(FI.sides(layers, b, md)).collect()[0]
+    assert whole.expected == whole.carried == 35
+    short = SimpleNamespace(shaped=md.shaped, written=md.written, lines=md.lines.where("text not like 'Log%'"))
+    weighed = FI.sides(layers, b, short)
+    assert FI.fidelity_pages(weighed).collect()[0].carried == 20
+    assert [r.word for r in FI.fidelity_missing(weighed).orderBy("pos").collect()] == ["log", "every", "service"]
+
+
 def test_log(spark):
     def fold(*actions):
         state = LG.State()
@@ -177,9 +192,9 @@ def test_nearest_edits():
 def test_gates(spark):
     page = {"n": 1, "lines": [], "pictures": [], "blocks": []}
     docs = [
-        ("ok", {"format": 1, "pages": [page]}, None), ("bad json", "{", "is not valid JSON"), ("list", [], "is not a JSON object"),
-        ("format", {"format": 2, "pages": []}, "is not in a format this version reads"), ("pages", {"format": 1}, "has no pages"),
-        ("page", {"format": 1, "pages": [{"n": "1"}]}, "has a page that is not one"),
+        ("ok", {"format": 1, "pages": [page]}, None), ("bad json", "{", "json"), ("list", [], "not_object"),
+        ("format", {"format": 2, "pages": []}, "format"), ("pages", {"format": 1}, "no_pages"),
+        ("page", {"format": 1, "pages": [{"n": "1"}]}, "page"),
     ]
     df = spark.createDataFrame([(n, j if isinstance(j, str) else json.dumps(j)) for n, j, _ in docs], "name string, json string")
     got = {r.name: r for r in gates.gate_analysis(df).collect()}
@@ -199,9 +214,9 @@ def test_gates(spark):
     assert rows["ok"].undo_steps == 1
     sha = "a" * 64
     manifests = [
-        ("ok", {"format": 1, "name": " n ", "documents": {"a/b": {"sha256": sha, "edits": {}}}}, None), ("newer", {"format": 2, "documents": {}}, "was written by a newer version"),
-        ("id", {"format": 1, "documents": {"a/../b": {}}}, "lists something that is not a document id"),
-        ("sha", {"format": 1, "documents": {"a": {"sha256": "x"}}}, "gives a sha256 that is not a SHA-256 hex digest"), ("docs", {"format": 1}, "has no documents map"),
+        ("ok", {"format": 1, "name": " n ", "documents": {"a/b": {"sha256": sha, "edits": {}}}}, None), ("newer", {"format": 2, "documents": {}}, "newer"),
+        ("id", {"format": 1, "documents": {"a/../b": {}}}, "document_id"),
+        ("sha", {"format": 1, "documents": {"a": {"sha256": "x"}}}, "sha256"), ("docs", {"format": 1}, "no_documents"),
     ]
     df = spark.createDataFrame([(n, json.dumps(j)) for n, j, _ in manifests], "id string, json string")
     rows = {r.id: r for r in gates.gate_manifest(df).collect()}
@@ -243,9 +258,43 @@ def test_convert_stream(spark, tmp_path):
 
     run = {"text": "Hello", "lead": False, "trail": False, "box": {"x": 72.0, "y": 90.0, "w": 30.0, "h": 9.0}, "base": 96.0, "size": 10.0,
            "bold": False, "italic": False, "font": "F"}
-    doc = {"doc_id": "d", "format": 1, "pages": [{"n": 1, "width": 612.0, "height": 792.0, "runs": [run], "lines": [], "pictures": [], "links": [], "blocks": []}]}
+    link = {"box": {"x": 70.0, "y": 88.0, "w": 40.0, "h": 14.0}, "url": "https://example.org/a"}
+    picture = {"box": {"x": 72.0, "y": 300.0, "w": 200.0, "h": 100.0}, "path": "p2-i0.png", "px": [400, 200]}
+    page = {"n": 1, "width": 612.0, "height": 792.0, "runs": [run], "lines": [], "pictures": [], "links": [], "blocks": []}
+    broken = {**page, "n": 3, "runs": [{**run, "box": None}, run]}
+    doc = {"doc_id": "d", "format": 1, "pages": [page, {**page, "n": 2, "links": [link], "pictures": [picture]}, broken]}
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "d.json").write_text(json.dumps(doc))
     out = str(tmp_path / "out")
     J.convert_stream(J.layout_stream(spark, str(tmp_path / "in")), out, str(tmp_path / "check")).awaitTermination()
-    assert [r.text for r in spark.read.parquet(f"{out}/md_lines").collect()] == ["Hello"]
+    got = [(r.page, r.text) for r in spark.read.parquet(f"{out}/md_lines").where("block_id is not null").orderBy("line_no").collect()]
+    assert got == [(1, "Hello"), (2, "[Hello](https://example.org/a)"), (2, "![page 2 figure 1](d.assets/p2-i0.png)")]
+    errors = spark.read.parquet(f"{out}/errors").collect()
+    assert [(r.doc_id, r.page, r.bad_runs, r.problem) for r in errors] == [("d", 3, 1, "box")]
+
+
+def test_log_keeps_the_type_of_ids(spark):
+    from quire.operators import log as LG
+
+    log = spark.createDataFrame([("a", 1, "hide", "p1b1"), ("b", 1, "undo", "p1b1")], "doc_id string, seq int, action string, block_id string")
+    assert {r.doc_id: r.undo_depth for r in LG.fold_decision_log(log).collect()} == {"a": 1, "b": 0}
+
+
+def test_running_totals_by_any_order(spark):
+    rows = [("x", i * 7 % 101, i) for i in range(101)] + [(None, 5, 3), (None, 4, 2)]
+    df = spark.createDataFrame(rows, "g string, o int, v int")
+    got = {(r.g, r.o): (r.n, r.v_upto, r.n_all) for r in O.running(df, ["g"], ["o"], totals=True, n=F.lit(1), v_upto=F.col("v")).collect()}
+    value = {o: v for g, o, v in rows if g}
+    for o in value:
+        assert got["x", o] == (o + 1, sum(value[k] for k in range(o + 1)), 101)
+    assert got[None, 4] == (1, 2, 2) and got[None, 5] == (2, 5, 2)
+
+
+def test_drop_caps_returns_every_file(spark):
+    files = [("d", 1, "a", 5), ("d", 2, "._x", 1), ("d", 3, "b", 50), ("d", 4, "c", 5), ("d", 5, "e", 3), ("d", 6, "f", 1), ("k", 1, "a", 1)]
+    df = spark.createDataFrame(files, "drop_id string, arrival int, name string, bytes long")
+    got = {(r.drop_id, r.arrival): r.verdict for r in I.drop_caps(df, max_files=9, max_file=20, max_drop=12).collect()}
+    assert got == {
+        ("d", 1): "taken", ("d", 2): "junk", ("d", 3): "too large", ("d", 4): "taken", ("d", 5): "drop too large",
+        ("d", 6): "after the stop", ("k", 1): "taken",
+    }
