@@ -155,9 +155,10 @@ pictures AS (
   SELECT * FROM clipped WHERE w >= 4 AND h >= 4 AND px_w * px_h > 1
     AND NOT ((px_w < 64 OR px_h < 64) AND (w < 24 OR h < 24)))"""
 
-DECISIONS = """,
+EVENT_BLOCK = "'p' || (event_id // 20 % 3 + 1) || 'b' || event_id % 20"
+DECISIONS = f""",
 last_events AS (
-  SELECT user_id AS doc_id, 'p1b' || (event_id % 20) AS block_id, max(event_id) AS event_id,
+  SELECT user_id AS doc_id, {EVENT_BLOCK} AS block_id, max(event_id) AS event_id,
     arg_max(event_type, event_id) AS t FROM events GROUP BY 1, 2)"""
 
 

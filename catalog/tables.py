@@ -675,12 +675,18 @@ def _placed(s, d):
 
 
 def _ranges(s, d):
-    return V.table(s, d, "documents").select("doc_id", F.lit("p1b4").alias("a"), F.lit("p1b1").alias("b"))
+    """From each document's last block that is one of its page's first five, back to
+    its first block that isn't its page's first."""
+    at = F.struct("page", "ord")
+    return blocks_of(s, d).groupBy("doc_id").agg(
+        F.max_by("block_id", F.when(F.col("ord") <= 4, at)).alias("a"), F.min_by("block_id", F.when(F.col("ord") >= 1, at)).alias("b")
+    )
 
 
 add("select_range", lambda s, d: SE.select_range(_placed(s, d), _ranges(s, d)),
-    L.with_blocks("""SELECT doc_id, page, ord, block_id FROM blocks WHERE page = 1 AND ord BETWEEN 1 AND 4 AND ord % 4 <> 3
-      AND doc_id IN (SELECT doc_id FROM blocks WHERE block_id = 'p1b4')"""))
+    L.with_blocks("""SELECT doc_id, page, ord, block_id FROM blocks JOIN (
+        SELECT doc_id, max(page * 1000000 + ord) FILTER (ord <= 4) AS p, min(page * 1000000 + ord) FILTER (ord >= 1) AS q FROM blocks GROUP BY doc_id) USING (doc_id)
+      WHERE p IS NOT NULL AND q IS NOT NULL AND page * 1000000 + ord BETWEEN least(p, q) AND greatest(p, q) AND ord % 4 <> 3"""))
 add(
     "lasso",
     lambda s, d: SE.lasso(
@@ -694,12 +700,12 @@ add(
 def _picks(s, d, n):
     e = V.table(s, d, "events").where(F.col("event_id") % n == 0)
     return e.groupBy(F.col("user_id").alias("doc_id")).agg(
-        F.collect_set(F.concat(F.lit("p1b"), (F.col("event_id") % 20).cast("string"))).alias("ids")
+        F.collect_set(V.event_block()).alias("ids")
     )
 
 
-PICKS = """a AS (SELECT DISTINCT user_id AS doc_id, 'p1b' || (event_id % 20) AS id FROM events WHERE event_id % 2 = 0),
-  b AS (SELECT DISTINCT user_id AS doc_id, 'p1b' || (event_id % 20) AS id FROM events WHERE event_id % 3 = 0)"""
+PICKS = f"""a AS (SELECT DISTINCT user_id AS doc_id, {L.EVENT_BLOCK} AS id FROM events WHERE event_id % 2 = 0),
+  b AS (SELECT DISTINCT user_id AS doc_id, {L.EVENT_BLOCK} AS id FROM events WHERE event_id % 3 = 0)"""
 add("selection_toggle", lambda s, d: SE.toggle(_picks(s, d, 2), _picks(s, d, 3)).select("doc_id", F.array_join("ids", ",").alias("ids")),
     f"""WITH {PICKS} SELECT doc_id, string_agg(id, ',' ORDER BY id) AS ids FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)) GROUP BY doc_id""")
 add("ids_by_page", lambda s, d: SE.ids_by_page(_placed(s, d).where("not deleted")).select(*PAGE, F.array_join("ids", ",").alias("ids")),
@@ -707,14 +713,13 @@ add("ids_by_page", lambda s, d: SE.ids_by_page(_placed(s, d).where("not deleted"
 
 
 def _selected(s, d):
-    shaped = D.overlay_decisions(blocks_of(s, d), V.decisions(s, d))
-    return shaped.where("page = 1 and ord < 3")
+    return D.overlay_decisions(blocks_of(s, d), V.decisions(s, d))
 
 
 add("selection_summary", lambda s, d: SE.selection_summary(_selected(s, d)),
     "WITH " + L.CLASSED + L.DECISIONS + """, z AS (SELECT doc_id, CASE WHEN t = 'view' THEN 'heading' ELSE role END AS role, CASE WHEN t = 'view' THEN 2 ELSE level END AS level,
         bold, italic, coalesce(t = 'error', false) AS quote, coalesce(t = 'click', false) AS hidden, coalesce(t = 'signup', false) AS deleted
-      FROM blocks LEFT JOIN last_events USING (doc_id, block_id) WHERE page = 1 AND ord < 3)
+      FROM blocks LEFT JOIN last_events USING (doc_id, block_id))
     SELECT doc_id, CASE WHEN n = 0 THEN NULL WHEN shown > 0 THEN 'hide' ELSE 'show' END AS hide_action, n AS hide_count,
       CASE WHEN n > 0 THEN 'delete' ELSE 'restore' END AS delete_action, c AS delete_count, CASE WHEN looks = 1 THEN look END AS look,
       CASE WHEN n > 0 THEN q END AS quote_lit, CASE WHEN n > 0 THEN b AND heads = 0 END AS bold_lit, CASE WHEN n > 0 THEN i AND heads = 0 END AS italic_lit FROM (
@@ -760,19 +765,28 @@ add("page_tops", lambda s, d: A.page_tops(V.layout_pages(s, d)),
 # ---- decisions and their log ------------------------------------------------
 
 add("latest_decisions", lambda s, d: D.latest_decisions(V.decision_log(s, d)),
-    """SELECT user_id AS doc_id, 'p1b' || (event_id % 20) AS block_id, (map {'click': 'hide', 'view': 'show', 'signup': 'delete', 'purchase': 'restore', 'error': 'undo'})[arg_max(event_type, event_id)] AS action,
+    f"""SELECT user_id AS doc_id, {L.EVENT_BLOCK} AS block_id, (map {{'click': 'hide', 'view': 'show', 'signup': 'delete', 'purchase': 'restore', 'error': 'undo'}})[arg_max(event_type, event_id)] AS action,
       max(event_id) AS seq FROM events GROUP BY 1, 2""")
-add("fold_decision_log", lambda s, d: LG.fold_decision_log(V.decision_log(s, d)))
-add("decided_blocks", lambda s, d: LG.decided_tables(LG.fold_decision_log(V.decision_log(s, d).where("action != 'undo'")))["decisions"].select(
+# log: the edits that changed something and still stand, with what they left their block as; u, r: how many can be undone and redone.
+FOLD = f"""WITH RECURSIVE e AS (SELECT user_id AS doc_id, {L.EVENT_BLOCK} AS b, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    f AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, []::STRUCT(b VARCHAR, st VARCHAR)[] AS log, 0 AS u, 0 AS r FROM e
+      UNION ALL SELECT doc_id, k, CASE WHEN t = 'error' AND u > 0 THEN log[:-2] WHEN t <> 'error' AND new <> old THEN list_append(log, {{'b': b, 'st': new}}) ELSE log END,
+        CASE WHEN t = 'error' THEN greatest(u - 1, 0) WHEN new <> old THEN least(u + 1, 100) ELSE u END,
+        CASE WHEN t = 'error' AND u > 0 THEN r + 1 WHEN t <> 'error' AND new <> old THEN 0 ELSE r END
+      FROM (SELECT *, CASE t WHEN 'click' THEN 'h' WHEN 'signup' THEN 'd' WHEN 'view' THEN CASE WHEN old = 'h' THEN '' ELSE old END
+          WHEN 'purchase' THEN CASE WHEN old = 'd' THEN '' ELSE old END END AS new
+        FROM (SELECT e.doc_id, e.k, e.b, e.t, f.log, f.u, f.r, coalesce(list_filter(f.log, lambda x: x.b = e.b)[-1].st, '') AS old
+          FROM f JOIN e ON e.doc_id = f.doc_id AND e.k = f.k + 1))),
+    l AS (SELECT doc_id, arg_max(log, k) AS log, arg_max(u, k) AS u, arg_max(r, k) AS r FROM f GROUP BY doc_id),
+    z AS (SELECT doc_id, unnest(log) AS x, generate_subscripts(log, 1) AS i FROM l),
+    w AS (SELECT * FROM (SELECT doc_id, x.b AS block_id, arg_max(x.st, i) AS st FROM z GROUP BY 1, 2) WHERE st <> '')"""
+FOLDED = FOLD + """ SELECT doc_id, '{"blocks": {' || coalesce(b, '') || '}, "cuts": {}, "headers_footers": "keep", "inserts": [], "joins": {}, "page_numbers": "keep", "repeated_lines": {}}' AS decided,
+      u AS undo_depth, r AS redo_depth FROM l LEFT JOIN (
+        SELECT doc_id, string_agg('"' || block_id || '": {"' || CASE st WHEN 'h' THEN 'hidden' ELSE 'deleted' END || '": true}', ', ' ORDER BY block_id) AS b FROM w GROUP BY doc_id) USING (doc_id)"""
+add("fold_decision_log", lambda s, d: LG.fold_decision_log(V.decision_log(s, d)), FOLDED)
+add("decided_blocks", lambda s, d: LG.decided_tables(LG.fold_decision_log(V.decision_log(s, d)))["decisions"].select(
         "doc_id", "block_id", F.coalesce("hidden", F.lit(False)).alias("hidden"), F.coalesce("deleted", F.lit(False)).alias("deleted")),
-    # With no undo in the log, the last of hide/delete/show/restore that acts on a flag decides it.
-    """WITH RECURSIVE e AS (SELECT user_id AS doc_id, 'p1b' || (event_id % 20) AS block_id, event_type AS t,
-        row_number() OVER (PARTITION BY user_id, event_id % 20 ORDER BY event_id) AS k FROM events WHERE event_type <> 'error'),
-    f AS (SELECT doc_id, block_id, 0::BIGINT AS k, '' AS st FROM (SELECT DISTINCT doc_id, block_id FROM e)
-      UNION ALL SELECT e.doc_id, e.block_id, e.k, CASE e.t WHEN 'click' THEN 'h' WHEN 'signup' THEN 'd' WHEN 'view' THEN CASE WHEN st = 'h' THEN '' ELSE st END
-        ELSE CASE WHEN st = 'd' THEN '' ELSE st END END FROM f JOIN e ON e.doc_id = f.doc_id AND e.block_id = f.block_id AND e.k = f.k + 1),
-    z AS (SELECT doc_id, block_id, arg_max(st, k) AS st FROM f GROUP BY 1, 2)
-    SELECT doc_id, block_id, st = 'h' AS hidden, st = 'd' AS deleted FROM z WHERE st <> ''""")
+    FOLD + " SELECT doc_id, block_id, st = 'h' AS hidden, st = 'd' AS deleted FROM w")
 add("decide", lambda s, d: D.decide(blocks_of(s, d), F.col("role") == "heading", role="heading", level=2, hidden=True).select("doc_id", "block_id", "level", "hidden"),
     L.with_blocks("SELECT doc_id, block_id, CASE WHEN level <> 2 THEN 2 END AS level, true AS hidden FROM blocks WHERE role = 'heading'"))
 
@@ -811,7 +825,7 @@ def _event_stream(s, d):
     )
     return e.select(
         F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), action.alias("action"),
-        F.concat(F.lit("p1b"), (F.col("event_id") % 20).cast("string")).alias("block_id"), F.lit(None).cast("string").alias("payload"),
+        V.event_block().alias("block_id"), F.lit(None).cast("string").alias("payload"),
     )
 
 
@@ -838,7 +852,7 @@ def _fold_stream(s, d):
     return s.read.parquet(out).drop("batch")
 
 
-add("fold_log_stream", _fold_stream)
+add("fold_log_stream", _fold_stream, FOLDED)
 
 
 def _progress_stream(s, d):

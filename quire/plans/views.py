@@ -8,7 +8,7 @@ by a rule on the document and paragraph number, because the supplied prose has
 none of its own.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.functions import geometry as G
 from quire.session import widen
@@ -270,6 +270,11 @@ def layout_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("doc_id", "page", F.inline(made))
 
 
+def event_block() -> Column:
+    """The block an event is about: the first three pages have twenty each."""
+    return F.format_string("p%db%d", F.floor(F.col("event_id") / 20) % 3 + 1, F.col("event_id") % 20)
+
+
 def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as edits: (doc_id, seq, action, block_id)."""
     action = (
@@ -283,7 +288,7 @@ def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("doc_id"),
         F.col("event_id").alias("seq"),
         action.alias("action"),
-        F.concat(F.lit("p1b"), (F.col("event_id") % 20).cast("string")).alias("block_id"),
+        event_block().alias("block_id"),
     )
 
 
@@ -291,7 +296,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as standing decisions, the last one of each block: field by field."""
     e = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("doc_id"),
-        F.concat(F.lit("p1b"), (F.col("event_id") % 20).cast("string")).alias("block_id"),
+        event_block().alias("block_id"),
         "event_id",
         "event_type",
     )

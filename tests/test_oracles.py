@@ -8,6 +8,7 @@ SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no supplied tables")
 
 NAMES = ["page_label", "wording", "escape_md", "path_cleaning", "carried", "reconcile", "corpus_hash", "latest_run"]
+NAMES += ["fold_decision_log", "decided_blocks", "selection_toggle", "latest_decisions"]
 
 
 @pytest.fixture(scope="module")
