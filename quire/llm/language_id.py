@@ -145,14 +145,23 @@ class Network:
 def sample(labelled: DataFrame, per_language: int, pieces: int) -> list[tuple[str, bytes]]:
     """``pieces`` windows of each of at most ``per_language`` texts a language: those
     of least hash, so the sample is the same for any partitioning. Only the windows,
-    cut out where the texts lie, are moved."""
+    cut out where the texts lie, are moved, and of each language only those whose hash
+    lies among the least few of all, as its count says: a bound that leaves fewer than
+    are wanted lies eight deviations off, and what is ranked doesn't grow with the table."""
     from pyspark.sql import Window as W
 
     h = F.xxhash64(F.lit(11), "_key", "text")
     length = F.greatest(F.lit(1), F.char_length("text") - WINDOW + 1)
     cut = lambda i: F.substring(F.col("text"), (F.pmod(F.xxhash64(F.lit(i), "_key"), length) + 1).cast("int"), F.lit(WINDOW))
     rows = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    rows = rows.select("lang", h.alias("_h"), F.array(*map(cut, range(pieces))).alias("_cuts"))
+    rows = rows.withColumn("_h", h)
+    wanted = per_language + 8 * per_language**0.5 + 32
+    counts = rows.groupBy("lang").count().collect()
+    if not counts:
+        return []
+    least = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, wanted / n - 0.5)])
+    rows = rows.where(F.col("_h") / 2.0**64 <= F.element_at(least, F.col("lang")))
+    rows = rows.select("lang", "_h", F.array(*map(cut, range(pieces))).alias("_cuts"))
     first = F.row_number().over(W.partitionBy("lang").orderBy("_h", "_cuts"))
     picked = rows.withColumn("_n", first).where(F.col("_n") <= per_language).orderBy("lang", "_h", "_cuts").collect()
     return [(r["lang"], c.encode()) for r in picked for c in r["_cuts"]]
