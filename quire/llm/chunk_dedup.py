@@ -16,6 +16,7 @@ from quire.llm import kernels as K
 from quire.llm.common import FILE, ROW, placed, settle
 
 BITS, MIN, MAX = 5, 16, 1024
+LEAST = 96
 _rng = np.random.default_rng(41)
 _GEAR = _rng.integers(0, 2**32, 256, np.uint32, endpoint=False)
 
@@ -48,9 +49,19 @@ def cuts(data: np.ndarray, offsets: np.ndarray):
     return start, np.minimum(start + MAX, end), text
 
 
-def chunks(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """_id, place, _start, _end (bytes of the text) and _d1, _d2 (digest) of every chunk."""
+def chunks(docs: DataFrame, id_column: str = "doc_id", least: int = LEAST) -> DataFrame:
+    """_id, place, _start, _end (bytes of the text), _d1, _d2 (digest) of every chunk, and
+    _l, _r: hashes of the bytes before and after it, of each so many that one of the two
+    lies inside any stretch of ``least`` bytes that holds the chunk; null at a text's end.
+    """
+    return _chunks(_rows(docs, id_column), least)
+
+
+def _rows(docs: DataFrame, id_column: str) -> DataFrame:
+    return placed(docs.withColumn("_id", F.col(id_column).cast("long")), "_id", "text")
 
+
+def _chunks(rows: DataFrame, least: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = K.buffers(batch["text"])
@@ -59,6 +70,8 @@ def chunks(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
                 start, end, text = cuts(d, o)
                 sums, middle = K.running(d), (start + end) // 2
                 half = K.mix(K.between(sums, start, middle) * np.uint64(3) + K.between(sums, middle, end))
+                beside = np.maximum(MIN, (least - (end - start) + 1) // 2)
+                before, after = np.maximum(start - beside, o[text]), np.minimum(end + beside, o[text + 1])
                 own = pa.array(text + a)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -67,40 +80,126 @@ def chunks(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
                         pa.array((end - o[text]).astype(np.int64)),
                         pa.array(K.between(sums, start, end).view(np.int64)),
                         pa.array(half.view(np.int64)),
+                        pa.array(K.between(sums, before, start).view(np.int64), mask=start - before < beside),
+                        pa.array(K.between(sums, end, after).view(np.int64), mask=after - end < beside),
                     ],
-                    names=["_id", FILE, ROW, "_start", "_end", "_d1", "_d2"],
+                    names=["_id", FILE, ROW, "_start", "_end", "_d1", "_d2", "_l", "_r"],
                 )
 
-    rows = placed(docs.withColumn("_id", F.col(id_column).cast("long")), "_id", "text")
-    schema = f"_id long, {FILE} long, {ROW} long, _start long, _end long, _d1 long, _d2 long"
+    schema = f"_id long, {FILE} long, {ROW} long, _start long, _end long, _d1 long, _d2 long, _l long, _r long"
     return rows.mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, least: int = 96, id_column: str = "doc_id") -> DataFrame:
-    """A row for each run of chunks that repeat earlier ones: id, start and end (bytes),
-    n_chunks, first_id and first_start (where the run's first chunk came first), place.
+def common(a, b, left: np.ndarray) -> np.ndarray:
+    """How many bytes of each pair of binary values are alike, from their ends where left."""
+    a, ao = K.buffers(a)
+    b, bo = K.buffers(b)
+    n = np.minimum(np.diff(ao), np.diff(bo))
+    begin = np.cumsum(n) - n
+    k = np.arange(int(n.sum())) - np.repeat(begin, n)
+    back = np.repeat(left, n)
+    at = [np.where(back, np.repeat(o[1:], n) - 1 - k, np.repeat(o[:-1], n) + k) for o in (ao, bo)]
+    alike, some = n.copy(), n > 0
+    if some.any():
+        unlike = np.where(a[at[0]] != b[at[1]], k, len(k))
+        alike[some] = np.minimum(np.minimum.reduceat(unlike, begin[some]), n[some])
+    return alike
+
+
+def _alike(rows: DataFrame, sides: DataFrame, size: int = 256) -> DataFrame:
+    """sides with _n: how many bytes before (_left) or after the place _at of their text are
+    those beside the place _to of text (_tf, _tr). What is alike for all of size bytes is
+    read on, eight times as far each time, until all have ended.
+    """
+
+    def run(batches):
+        for batch in batches:
+            left = batch["_left"].to_numpy(zero_copy_only=False).astype(bool)
+            alike = pa.array(common(batch["_b"], batch["_tb"], left))
+            keep = [c for c in batch.schema.names if c not in ("_b", "_tb")]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), alike], names=[*keep, "_m"])
+
+    texts = rows.select(F.col(FILE).alias("_f"), F.col(ROW).alias("_r"), F.col("text").cast("binary").alias("_raw"))
+    sides, done = sides.withColumn("_n", F.lit(0).cast("long")), None
+    while True:
+        on = F.when(F.col("_left"), -F.col("_n")).otherwise(F.col("_n"))
+        here = F.struct("_left", (F.col("_at") + on).alias("p"))
+        there = F.struct("_left", (F.col("_to") + on).alias("p"))
+        own = sides.select(F.col(FILE).alias("_pf"), F.col(ROW).alias("_pr"), here.alias("_p"))
+        places = own.union(sides.select("_tf", "_tr", there)).distinct()
+        places = places.groupBy("_pf", "_pr").agg(F.collect_list("_p").alias("_ps"))
+        beside = texts.join(places, (F.col("_f") == F.col("_pf")) & (F.col("_r") == F.col("_pr")))
+        beside = beside.select("_f", "_r", "_raw", F.explode("_ps").alias("_p"))
+        begin = F.when(F.col("_p._left"), F.greatest(F.col("_p.p") - size, F.lit(0))).otherwise(F.col("_p.p"))
+        length = F.when(F.col("_p._left"), F.least(F.col("_p.p"), F.lit(size))).otherwise(F.lit(size))
+        b = F.substring(F.col("_raw"), (begin + 1).cast("int"), length.cast("int"))
+        beside = settle(beside.select("_f", "_r", "_p", b.alias("_b")))
+        both = sides.withColumns({"_here": here, "_there": there})
+        for f, r, p, name in ((FILE, ROW, "_here", "_b"), ("_tf", "_tr", "_there", "_tb")):
+            one = beside.withColumnRenamed("_b", name)
+            same = (F.col(f) == F.col("_f")) & (F.col(r) == F.col("_r"))
+            same &= (F.col(f"{p}._left") == F.col("_p._left")) & (F.col(f"{p}.p") == F.col("_p.p"))
+            both = both.join(one, same).drop("_f", "_r", "_p", p)
+        schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in both.schema if x.name not in ("_b", "_tb"))
+        step = settle(both.mapInArrow(run, f"{schema}, _m long").withColumn("_n", F.col("_n") + F.col("_m")))
+        ended, sides = step.where(F.col("_m") < size).drop("_m"), step.where(F.col("_m") >= size).drop("_m")
+        done = ended if done is None else done.unionByName(ended)
+        if sides.isEmpty():
+            return done
+        size *= 8
+
+
+def repeated_spans(docs: DataFrame, least: int = LEAST, id_column: str = "doc_id") -> DataFrame:
+    """A row for each run of chunks that repeat earlier ones, with all bytes before and
+    after it that repeat too: id, start and end (bytes), n_chunks, first_id and first_start
+    (where the span's first byte came first), place. Spans of a text may overlap.
 
     Earlier is a smaller id (null least; rows of one id by place) or an earlier byte
-    of the same text. Runs shorter than ``least`` bytes aren't reported: a stray short
-    chunk is no passage. Null and empty texts have no chunks.
+    of the same text. Every run is reported that lies in a stretch of ``least`` bytes met
+    earlier: its chunk has then come earlier with half of what it lacks of ``least`` on
+    one side at least. Shorter runs without that are stray. Null and empty texts have no
+    chunks.
     """
-    each = chunks(docs, id_column)
-    order = F.struct(F.col("_id").alias("i"), F.col(FILE).alias("f"), F.col(ROW).alias("r"), F.col("_start").alias("s"))
-    firsts = each.groupBy("_d1", "_d2").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    firsts = firsts.where("_n > 1").drop("_n")
-    later = each.join(firsts, ["_d1", "_d2"]).where(order != F.col("_first"))
-    later = settle(later.select("_id", FILE, ROW, "_start", "_end", F.col("_first.i").alias("_fi"), F.col("_first.s").alias("_fs")))
+    rows = _rows(docs, id_column)
+    each = _chunks(rows, least)
+    order = F.struct(
+        F.col("_id").alias("i"), F.col(FILE).alias("f"), F.col(ROW).alias("r"), F.col("_start").alias("s"), F.col("_end").alias("e")
+    )
+    firsts = each.groupBy("_d1", "_d2").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_c"))
+    firsts = firsts.where("_c > 1").drop("_c")
+    met = settle(each.join(firsts, ["_d1", "_d2"]))
+    later = met.where(order != F.col("_first"))
+    for beside in ("_l", "_r"):  # where the chunk came first with the same bytes beside it
+        wide = met.where(F.col(beside).isNotNull()).groupBy("_d1", "_d2", beside)
+        wide = wide.agg(F.min(order).alias(f"{beside}f"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+        later = later.join(wide, ["_d1", "_d2", beside], "left")
+        later = later.withColumn(f"{beside}f", F.when(F.col(f"{beside}f") != order, F.col(f"{beside}f")))
+    later = later.select(
+        "_id", FILE, ROW, "_start", "_end",
+        F.coalesce("_lf", "_first").alias("_lf"), F.coalesce("_rf", "_first").alias("_rf"),
+        (F.col("_lf").isNotNull() | F.col("_rf").isNotNull()).alias("_wide"),
+    )
     # runs of chunks end to end, within one text
     text = W.partitionBy(FILE, ROW).orderBy("_start")
     new = F.coalesce(F.col("_start") != F.lag("_end").over(text), F.lit(True)).cast("int")
     runs = later.withColumn("_new", new).withColumn("_run", F.sum("_new").over(text))
-    head = F.min(F.struct("_start", "_fi", "_fs"))
-    out = runs.groupBy("_id", FILE, ROW, "_run").agg(
-        F.min("_start").alias("start"), F.max("_end").alias("end"), F.count(F.lit(1)).alias("n_chunks"), head.alias("_h")
-    )
-    return out.where(F.col("end") - F.col("start") >= least).select(
-        F.col("_id").alias(id_column), "start", "end", "n_chunks", F.col("_h._fi").alias("first_id"), F.col("_h._fs").alias("first_start"), FILE, ROW
-    )
+    runs = runs.groupBy("_id", FILE, ROW, "_run").agg(
+        F.min("_start").alias("start"), F.max("_end").alias("end"), F.count(F.lit(1)).alias("n_chunks"),
+        F.min(F.struct("_start", "_lf"))["_lf"].alias("_lf"), F.max(F.struct("_end", "_rf"))["_rf"].alias("_rf"), F.max("_wide").alias("_wide"),
+    )
+    runs = settle(runs.where(F.col("_wide") | (F.col("end") - F.col("start") >= least)))
+    side = [
+        F.struct(F.lit(left).alias("_left"), F.col(at).alias("_at"), F.col(f"{t}.f").alias("_tf"), F.col(f"{t}.r").alias("_tr"), F.col(f"{t}.{e}").alias("_to"))
+        for left, at, t, e in ((True, "start", "_lf", "s"), (False, "end", "_rf", "e"))
+    ]
+    sides = runs.select(FILE, ROW, "_run", F.inline(F.array(*side)))
+    more = _alike(rows, sides).groupBy(FILE, ROW, "_run").pivot("_left", [True, False]).agg(F.max("_n"))
+    out = runs.join(more, [FILE, ROW, "_run"])
+    return out.select(
+        F.col("_id").alias(id_column),
+        (F.col("start") - F.col("true")).alias("start"), (F.col("end") + F.col("false")).alias("end"), "n_chunks",
+        F.col("_lf.i").alias("first_id"), (F.col("_lf.s") - F.col("true")).alias("first_start"), FILE, ROW,
+    )
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -111,13 +210,14 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     cut = cut.withColumnsRenamed({FILE: "_f", ROW: "_r"})
     rows = placed(docs.withColumn("_raw", F.col("text").cast("binary")), *names, "_raw")
     rows = rows.join(cut, (F.col(FILE) == F.col("_f")) & (F.col(ROW) == F.col("_r")), "left")
-    # what lies between one span's end and the next one's start
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cut", lambda s: s["end"]))
-    ends = F.concat(F.transform("_cut", lambda s: s["start"]), F.array(F.octet_length("_raw").cast("long")))
-    kept = F.transform(
-        F.arrays_zip(starts.alias("a"), ends.alias("b")),
-        lambda p: F.substring(F.col("_raw"), (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")),
+    # what lies between the furthest end so far and the next span's start
+    piece = lambda a, b: F.substring(F.col("_raw"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("kept"))
+    joined = F.aggregate(
+        "_cut",
+        none,
+        lambda k, s: F.struct(F.greatest(k["at"], s["end"]).alias("at"), F.concat(k["kept"], piece(k["at"], s["start"])).alias("kept")),
+        lambda k: F.concat(k["kept"], piece(k["at"], F.octet_length("_raw").cast("long"))),
     )
-    joined = F.aggregate(kept, F.lit(b""), lambda a, b: F.concat(a, b))
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.make_valid_utf8(joined.cast("string")))
     return rows.withColumn("text", text).select(*names)

@@ -191,6 +191,31 @@ def test_chunk_dedup(docs, none):
     assert CD.without(docs, CD.repeated_spans(docs)).count() == len(rows())
 
 
+def _passages(n, seed):
+    """n texts and n later ones, each with a passage of 51 to 60 words of one of the first, and the passages."""
+    rnd = np.random.default_rng(seed)
+    some = lambda k: ["".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz"), rnd.integers(3, 10))) for _ in range(k)]
+    texts = [some(120) for _ in range(n)]
+    taken = [t[a : a + k] for t in texts for a, k in [(rnd.integers(0, 60), rnd.integers(51, 61))]]
+    texts += [[*some(20), *p, *some(20)] for p in taken]
+    return [" ".join(t) for t in texts], [" ".join(p) for p in taken]
+
+
+def test_chunk_dedup_meets_whole_passages(spark):
+    texts, taken = _passages(300, 5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = CD.repeated_spans(docs).collect()
+    met = set()
+    for r in spans:  # every byte of a span is where it came first
+        assert texts[r.doc_id][r.start : r.end] == texts[r.first_id][r.first_start : r.first_start + r.end - r.start]
+        a = texts[r.doc_id].index(taken[r.doc_id - 300])
+        if r.start <= a and r.end >= a + len(taken[r.doc_id - 300]):  # to its first and last byte
+            met.add(r.doc_id)
+    assert met == set(range(300, 600))
+    kept = {r.doc_id: r.text for r in CD.without(docs, CD.repeated_spans(docs)).collect()}
+    assert all(len(kept[i]) <= len(texts[i]) - len(taken[i - 300]) for i in met)
+
+
 def test_lm_scoring(docs, none):
     import math
     from collections import Counter
