@@ -4,7 +4,11 @@ A gear rolling hash runs over a text's bytes; where its high bits are zero a cut
 be. A place is a cut if there was no such place in the MIN bytes before it, so cuts
 depend on some 50 bytes before them and on nothing else: text put in shifts the bytes
 but not the cuts, and a passage that repeats has the same chunks from its second cut
-on. Chunks over MAX bytes are cut again every MAX bytes. Chunks are deduplicated by
+on. Where no such place is near, the strictly least hash within NEAR bytes on both sides
+is one. Only a stretch of a period of up to NEAR bytes (one word again and again) has
+neither: it is cut where it begins and ends, and inside into pieces of whole periods that
+begin at the period's least hash, so that they are alike whatever stands around it.
+Chunks over MAX bytes are cut again every MAX bytes. Chunks are deduplicated by
 digest: the first in order of id and place stays.
 """
 
@@ -17,6 +21,7 @@ from quire.llm.common import FILE, ROW, placed, settle
 
 BITS, MIN, MAX = 5, 16, 1024
 LEAST = 96
+NEAR, PERIODIC = 48, 64
 _rng = np.random.default_rng(41)
 _GEAR = _rng.integers(0, 2**32, 256, np.uint32, endpoint=False)
 
@@ -30,18 +35,60 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _weak(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places of hashes strictly less than all within NEAR bytes, in one text."""
+    if len(h) < 2 * NEAR + 1:
+        return np.zeros(0, np.int64)
+    low, mid = K.least(h, NEAR), h[NEAR:-NEAR]
+    at = np.flatnonzero((mid < low[: len(mid)]) & (mid < low[NEAR + 1 :])) + NEAR
+    text = np.searchsorted(offsets, at, "right") - 1
+    return at[(at - NEAR - offsets[text] >= 31) & (at + NEAR < offsets[text + 1])] + 1
+
+
+def _periodic(data: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Cuts of stretches of short period inside the given chunks. A stretch holds PERIODIC
+    bytes at least that are like those a period before; the least period counts."""
+    long = end - start > PERIODIC
+    start, n = start[long], (end - start)[long]
+    begin = np.cumsum(n) - n
+    at = np.arange(int(n.sum())) + np.repeat(start - begin, n)
+    owner = np.repeat(np.arange(len(n)), n)
+    d, free, out = data[at], np.ones(len(at), bool), []
+    for p in range(1, NEAR + 1):
+        if len(d) < p + PERIODIC:
+            break
+        # of PERIODIC places in a row some 7 are multiples of 8
+        some = d[p::8] == d[:-p:8]
+        for step in (1, 2, 3):
+            some = some[step:] & some[:-step]
+        if not some.any():
+            continue
+        same = (d[p:] == d[:-p]) & (owner[p:] == owner[:-p]) & free[p:] & free[:-p]
+        other = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
+        for i in np.flatnonzero(np.diff(other) > PERIODIC):
+            a, b = int(other[i]), int(other[i + 1]) - 1 + p
+            free[a:b] = False
+            # hashes from a + 31 on see nothing but the stretch
+            first = a + 32 + int(np.argmin(h[at[a] + 31 : at[a] + 31 + p]))
+            size = p * -(-NEAR // p)
+            out.append(at[a] + np.concatenate([[0], np.arange(first, b + 1, size) - a, [b - a]]))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray):
     """(start, end, text number) of the chunks of texts laid end to end."""
-    place = np.flatnonzero(gear(data) < np.uint32(1 << (32 - BITS))) + 1
+    h = gear(data)
+    place = np.flatnonzero(h < np.uint32(1 << (32 - BITS))) + 1
     text = np.searchsorted(offsets, place - 1, "right") - 1
     # the hash of a text's first 31 bytes would look into the text before
     place = place[place - offsets[text] >= 32]
     far = np.ones(len(place), bool)
     far[1:] = place[1:] - place[:-1] >= MIN
-    start = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], place[far]]))
-    start = start[start < len(data)]
-    text = np.searchsorted(offsets, start, "right") - 1
-    end = np.minimum(np.append(start[1:], len(data)), offsets[text + 1])
+    start = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], place[far], _weak(h, offsets)]))
+    start, end, text = _stretches(data, offsets, start)
+    more = _periodic(data, h, start, end)
+    if len(more):
+        start, end, text = _stretches(data, offsets, np.unique(np.concatenate([start, more])))
     n = -(-(end - start) // MAX)
     number = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     start, end, text = (np.repeat(x, n) for x in (start, end, text))
@@ -49,6 +96,12 @@ def cuts(data: np.ndarray, offsets: np.ndarray):
     return start, np.minimum(start + MAX, end), text
 
 
+def _stretches(data: np.ndarray, offsets: np.ndarray, start: np.ndarray):
+    start = start[start < len(data)]
+    text = np.searchsorted(offsets, start, "right") - 1
+    return start, np.minimum(np.append(start[1:], len(data)), offsets[text + 1]), text
+
+
 def chunks(docs: DataFrame, id_column: str = "doc_id", least: int = LEAST) -> DataFrame:
     """_id, place, _start, _end (bytes of the text), _d1, _d2 (digest) of every chunk, and
     _l, _r: hashes of the bytes before and after it, of each so many that one of the two
@@ -162,9 +215,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, id_column: str = "doc_id
     """
     rows = _rows(docs, id_column)
     each = _chunks(rows, least)
-    order = F.struct(
-        F.col("_id").alias("i"), F.col(FILE).alias("f"), F.col(ROW).alias("r"), F.col("_start").alias("s"), F.col("_end").alias("e")
-    )
+    order = F.struct(F.col("_id").alias("i"), F.col(FILE).alias("f"), F.col(ROW).alias("r"), F.col("_start").alias("s"))
     firsts = each.groupBy("_d1", "_d2").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_c"))
     firsts = firsts.where("_c > 1").drop("_c")
     met = settle(each.join(firsts, ["_d1", "_d2"]))
@@ -176,7 +227,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, id_column: str = "doc_id
         later = later.withColumn(f"{beside}f", F.when(F.col(f"{beside}f") != order, F.col(f"{beside}f")))
     later = later.select(
         "_id", FILE, ROW, "_start", "_end",
-        F.coalesce("_lf", "_first").alias("_lf"), F.coalesce("_rf", "_first").alias("_rf"),
+        F.coalesce("_lf", "_first").alias("_lf"),
+        F.coalesce("_rf", "_first").withField("e", F.coalesce("_rf", "_first")["s"] + F.col("_end") - F.col("_start")).alias("_rf"),
         (F.col("_lf").isNotNull() | F.col("_rf").isNotNull()).alias("_wide"),
     )
     # runs of chunks end to end, within one text

@@ -216,6 +216,22 @@ def test_chunk_dedup_meets_whole_passages(spark):
     assert all(len(kept[i]) <= len(texts[i]) - len(taken[i - 300]) for i in met)
 
 
+@pytest.mark.parametrize("word", ["a", "and", "der", "Straße", "one two", "seventeen-letters", "a phrase of forty-five bytes that comes again"])
+def test_chunks_of_one_word_again_and_again(word):
+    run = " ".join([word] * max(51, 400 // len(word)))
+    texts = [f"{run} {'zq vex'}", f"Some other words, {run}.", f"x {run} {run} y", f"{'lorem ipsum ' * 3}dolor {run}, then"]
+    alone = []
+    for t in texts:
+        b = t.encode()
+        start, end, _ = CD.cuts(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+        assert start[0] == 0 and end[-1] == len(b) and (start[1:] == end[:-1]).all()
+        alone.append({b[i:j] for i, j in zip(start.tolist(), end.tolist()) if b[i:j] in (" ".join([word] * 600)).encode() and j - i >= CD.MIN})
+    assert all(a & alone[0] for a in alone)
+    whole = CD.cuts(*K.buffers(pa.array(texts)))
+    one = [CD.cuts(*K.buffers(pa.array([t]))) for t in texts]
+    assert [len(o[0]) for o in one] == np.bincount(whole[2]).tolist()
+
+
 def test_lm_scoring(docs, none):
     import math
     from collections import Counter
