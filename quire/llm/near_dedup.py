@@ -162,9 +162,10 @@ def _linked(pairs: DataFrame, set_rows: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "_x", "_y").mapInArrow(run, "a binary, b binary")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root) of every node that has an edge (a, b); root is the least node of
-    its component. Large-star and small-star alternate until nothing changes."""
+    its component. Large-star and small-star alternate until nothing changes; if
+    ``rounds`` are given and run out before that, it raises."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:  # every neighbour, both ways
@@ -181,8 +182,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
             )
         return out.where("a <> b").distinct()
 
-    e, seen = settle(edges.where("a <> b").select("a", "b").distinct()), None
-    for _ in range(rounds):
+    e, seen, done = settle(edges.where("a <> b").select("a", "b").distinct()), None, 0
+    while True:
+        if done == rounds:
+            raise RuntimeError(f"components still changed after {rounds} rounds")
+        done += 1
         e = settle(star(star(e, True), False))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).collect()[0]
         if now == seen:

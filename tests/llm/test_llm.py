@@ -232,6 +232,13 @@ def test_chunks_of_one_word_again_and_again(word):
     assert [len(o[0]) for o in one] == np.bincount(whole[2]).tolist()
 
 
+def test_components_are_never_left_split(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    assert {(r.node, r.root) for r in ND.components(path).collect()} == {(i, 0) for i in range(65)}
+    with pytest.raises(RuntimeError):
+        ND.components(path, rounds=1)
+
+
 def test_lm_scoring(docs, none):
     import math
     from collections import Counter
