@@ -197,7 +197,7 @@ add(
 # ---- ingest -----------------------------------------------------------------
 
 
-def candidates(s, d):
+def _staged(s, d):
     """documents as staged files: the id a source and a number make, the text's
     bytes, one document in seventeen staged twice, one in nineteen in conflict."""
     doc = V.table(s, d, "documents")
@@ -213,7 +213,12 @@ def candidates(s, d):
     )
     made = made.withColumn("doc_id", F.when(F.col("n") % 19 <= 1, F.concat(F.lit("pair/d"), (F.col("n") - F.col("n") % 19).cast("string"))).otherwise(F.col("doc_id")))
     again = made.where("n % 17 = 0").withColumn("arrival", F.col("arrival") + 10_000_000)
-    return made.unionByName(again).drop("n")
+    return made.withColumn("again", F.lit(False)).unionByName(again.withColumn("again", F.lit(True))).drop("n")
+
+
+def candidates(s, d):
+    """What was staged, second copies among it."""
+    return _staged(s, d).drop("again")
 
 
 def manifest(s, d):
@@ -292,7 +297,7 @@ add(
     "rename_staged",
     lambda s, d: I.rename_staged(
         I.dedupe_candidates(candidates(s, d)).select("doc_id", "sha256", "arrival"),
-        candidates(s, d).where("arrival % 3 = 0 and arrival < 10000000").select(
+        _staged(s, d).where("arrival % 3 = 0 and not again").select(
             "doc_id", F.concat(F.lit("Renamed "), F.col("arrival").cast("string")).alias("typed")
         ).dropDuplicates(["doc_id"]),
     ),
