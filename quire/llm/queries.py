@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.llm import (
-    chunk_dedup as CD, decontamination as DC, exact_dedup as ED, language_id as LI, lm_scoring as LM, mixing as MX, near_dedup as ND, resharding as RS, suffix_dedup as SD, token_records as TR,
+    chunk_dedup as CD, decontamination as DC, exact_dedup as ED, language_id as LI, lm_scoring as LM, mixing as MX, near_dedup as ND, periodic_runs as PR, resharding as RS, suffix_dedup as SD, token_records as TR,
 )
 
 
@@ -77,6 +77,34 @@ def op10_near_dedup(spark, sf_dir):
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def with_periods(docs):
+    """docs as op11 takes them: of every tenth document by hash, the words from one on
+    are replaced by repetitions of those that begin there."""
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.when(crc % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    g, n = F.floor(crc / 10), F.size("_words")
+    cut = docs.select("doc_id", "text", words.alias("_words"), g.alias("_g"), F.pmod(g, F.greatest(n, F.lit(1))).cast("int").alias("_a"))
+    a, rest = F.col("_a"), n - F.col("_a")
+    p = (1 + F.floor(rest / (3 + F.col("_g") % 8))).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("_words", a + 1, p), F.ceil(rest / p).cast("int"))), F.lit(1), rest)
+    new = F.array_join(F.concat(F.slice("_words", F.lit(1), a), again), " ")
+    return cut.select("doc_id", F.when(n > 0, new).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark, sf_dir):
+    out = PR.periodic_runs(with_periods(_documents(spark, sf_dir)))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = out.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("_b"), F.array_join(lines, "").alias("_l"), "collapsed")
+    start, length, period = -F.col("_b.s"), F.col("_b.n"), -F.col("_b.p")
+    return out.select(
+        "doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.col("_l").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPLIT = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -105,4 +133,5 @@ QUERIES = {
     "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op9_lm_scoring": (op9_lm_scoring, OP9_SQL),
     "op10_near_dedup": (op10_near_dedup, None),
+    "op11_periodic_runs": (op11_periodic_runs, None),
 }
