@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.llm import (
-    chunk_dedup as CD, decontamination as DC, exact_dedup as ED, language_id as LI, lm_scoring as LM, mixing as MX, near_dedup as ND, periodic_runs as PR, resharding as RS, suffix_dedup as SD, token_records as TR,
+    chunk_dedup as CD, decontamination as DC, exact_dedup as ED, language_id as LI, lm_scoring as LM, mixing as MX, near_dedup as ND, periodic_runs as PR, resharding as RS, suffix_dedup as SD, token_records as TR, whitening as WH,
 )
 
 
@@ -105,6 +105,10 @@ def op11_periodic_runs(spark, sf_dir):
     )
 
 
+def op12_whitening(spark, sf_dir):
+    return WH.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 4, 256)
+
+
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPLIT = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -134,4 +138,5 @@ QUERIES = {
     "op9_lm_scoring": (op9_lm_scoring, OP9_SQL),
     "op10_near_dedup": (op10_near_dedup, None),
     "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_whitening": (op12_whitening, None),
 }
