@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.llm import (
-    chunk_dedup as CD, decontamination as DC, exact_dedup as ED, language_id as LI, lm_scoring as LM, mixing as MX, near_dedup as ND, periodic_runs as PR, resharding as RS, suffix_dedup as SD, token_records as TR, whitening as WH,
+    chat_format as CF, chunk_dedup as CD, decontamination as DC, exact_dedup as ED, language_id as LI, lm_scoring as LM, mixing as MX, near_dedup as ND, periodic_runs as PR, resharding as RS, suffix_dedup as SD, token_records as TR, whitening as WH,
 )
 
 
@@ -109,6 +109,22 @@ def op12_whitening(spark, sf_dir):
     return WH.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 4, 256)
 
 
+def op13_chat_format(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    more = [(-7, turn, role, r"\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(more, rows.schema))
+    out = CF.read_chats(CF.format_chats(rows, path), path)
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"), F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPLIT = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -124,6 +140,15 @@ one AS (SELECT item_id, len(ss) AS n_item, unnest(ss) AS s FROM its)
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*)::DOUBLE / n_item AS containment
 FROM ds JOIN one USING (s) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item"""
 
+ESCAPED = r"replace(replace(replace(replace(coalesce({0}, ''), '\', '\\'), '<turn>', '\o'), '<text>', '\m'), '</turn>', '\c')"
+OP13_SQL = rf"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+length('<turn><text></turn>') + length({ESCAPED.format("role")}) + length({ESCAPED.format("text")}) AS n FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(n)::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
 OP9_SQL = None
 
 QUERIES = {
@@ -139,4 +164,5 @@ QUERIES = {
     "op10_near_dedup": (op10_near_dedup, None),
     "op11_periodic_runs": (op11_periodic_runs, None),
     "op12_whitening": (op12_whitening, None),
+    "op13_chat_format": (op13_chat_format, OP13_SQL),
 }
