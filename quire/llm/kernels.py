@@ -79,11 +79,37 @@ def running(data: np.ndarray) -> np.ndarray:
 
 
 def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the stretches [start, end); they depend on content and length."""
+    """Hashes of the stretches [start, end), of some hundreds of bytes at most; they
+    depend on content and length."""
     h = (sums[end] - sums[start]) * inverse_powers(start, len(sums))
     return mix(h ^ (np.asarray(end - start).astype(np.uint64) * _FOLD))
 
 
+_LADDER = np.zeros(0, np.uint64)
+
+
+def ladder(n: int) -> np.ndarray:
+    """n odd multipliers drawn at random, one for each place in a run."""
+    global _LADDER
+    if len(_LADDER) < n:
+        size = max(1 << 12, 1 << int(n - 1).bit_length())
+        _LADDER = np.random.default_rng(20240614).integers(1, 2**64, size, np.uint64, endpoint=False) | np.uint64(1)
+    return _LADDER[:n]
+
+
+def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bytes, none of them empty: the sum of each byte's value times
+    its place's multiplier. It is for runs of any length, unlike ``between``, whose
+    multipliers are powers, so that long patterns can weigh what their complements do."""
+    size = end - start
+    begin = np.cumsum(size) - size
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    place = np.arange(int(size.sum())) - np.repeat(begin, size)
+    values = _BYTE[data[place + np.repeat(start, size)]] * ladder(int(size.max()))[place]
+    return mix(np.add.reduceat(values, begin) ^ (size.astype(np.uint64) * _FOLD))
+
+
 def words(data: np.ndarray, offsets: np.ndarray):
     """(start, end, text number) of every maximal run of bytes that are not white
     space; no word crosses from one text to the next."""
@@ -105,7 +131,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray):
     start, end, text = words(low, offsets)
     if not len(start):
         return np.zeros(0, np.uint64), text
-    return between(running(low), start, end), text
+    return hash_runs(low, start, end), text
 
 
 _PLACES = _rng.integers(1, 2**64, 64, np.uint64, endpoint=False) | np.uint64(1)

@@ -130,7 +130,7 @@ def answer(table: pa.Table) -> pa.Table:
     _, where = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(where, counts).astype(np.int64)
     ends = np.cumsum([len(h) for h in hashes])
-    told = np.minimum(total, 0xFFFFFFFF).astype("<u4")[where]
+    told = total.astype("<u8")[where]
     replies = [told[e - len(h) : e].tobytes() for e, h in zip(ends.tolist(), hashes)]
     once = np.zeros(len(hashes), np.int64)
     once[0] = 1
@@ -193,7 +193,7 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", mu: floa
             data, offsets = K.buffers(some["text"].combine_chunks() if some["text"].num_chunks != 1 else some["text"].chunk(0))
             _, text, first, found = grams_of(data, offsets)
             got.sort()
-            c1, c2 = (np.frombuffer(b"".join(c for p, c in got if (p >= n) == pair), "<u4") for pair in (False, True))
+            c1, c2 = (np.frombuffer(b"".join(c for p, c in got if (p >= n) == pair), "<u8") for pair in (False, True))
             model = Automaton(found[0][0], c1, c2, total, types, mu)
             base, smooth = model.walk(found[0][1], found[1][1], first)
             columns[0].append(np.bincount(text, minlength=many))

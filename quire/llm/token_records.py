@@ -26,7 +26,7 @@ from quire.llm import kernels as K
 from quire.llm.common import settle, shared
 
 INDEX = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
-CACHED = 1_000_000  # words an encoder remembers
+CACHED = 500_000  # stretches an encoder remembers
 
 
 def masked(data: bytes) -> int:
@@ -85,7 +85,7 @@ class Encoder:
     """Ids of whole texts by a byte-level tokenizer of the ``tokenizers`` library.
 
     A text is encoded stretch by stretch, between the places of ``cuts``, and each
-    distinct stretch only once. Where a special token's string occurs, whole texts
+    distinct stretch only once, told apart by its bytes. Where a special token's string occurs, whole texts
     are encoded.
     """
 
@@ -101,7 +101,7 @@ class Encoder:
         self.forget()
 
     def forget(self):
-        self.known = np.zeros(0, np.uint64)
+        self.known: dict[bytes, int] = {}  # a stretch's own bytes, so none passes for another
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -124,7 +124,7 @@ class Encoder:
         feeds = np.flatnonzero(ids == self.feed)
         return ids[ids != self.feed], np.diff(feeds, prepend=-1) - 1
 
-    def learn(self, hashes, data, start, end):
+    def learn(self, words, data, start, end):
         feeds = np.concatenate([[0], np.cumsum(data == 0x0A)])
         first = start + (data[start] == 0x20)
         last = data[end - 1]
@@ -133,20 +133,19 @@ class Encoder:
         easy &= (_SOLID[head] | (head == 0xC3)) & (_SOLID[last] | ((data[end - 2] == 0xC3) & (end - start > 1)))
         easy &= self.feed is not None
         if easy.any():
-            self.add(hashes[easy], *self.joined(data, start[easy], end[easy]))
+            self.add(words, np.flatnonzero(easy), *self.joined(data, start[easy], end[easy]))
         if not easy.all():
             rest = ~easy
             texts = [data[a:b].tobytes().decode() for a, b in zip(start[rest].tolist(), end[rest].tolist())]
             got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             count = np.fromiter(map(len, got), np.int64, len(got))
-            self.add(hashes[rest], np.fromiter((x for ids in got for x in ids), np.uint32, int(count.sum())), count)
-
-    def add(self, hashes, flat, count):
-        known = np.concatenate([self.known, hashes])
-        first = np.concatenate([self.start, np.cumsum(count) - count + len(self.ids)])
-        count = np.concatenate([self.count, count])
-        order = np.argsort(known)
-        self.known, self.start, self.count = known[order], first[order], count[order]
+            self.add(words, np.flatnonzero(rest), np.fromiter((x for ids in got for x in ids), np.uint32, int(count.sum())), count)
+
+    def add(self, words, which, flat, count):
+        for slot, i in enumerate(which.tolist(), len(self.start)):
+            self.known[words[i]] = slot
+        self.start = np.concatenate([self.start, np.cumsum(count) - count + len(self.ids)])
+        self.count = np.concatenate([self.count, count])
         self.ids = np.concatenate([self.ids, flat])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray):
@@ -159,16 +158,20 @@ class Encoder:
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
-        hashes = K.between(K.running(data), start, end)
-        each, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        edges = pa.py_buffer(np.append(start, len(data)).astype(np.int64))
+        each = pa.Array.from_buffers(pa.large_binary(), len(start), [None, edges, pa.py_buffer(raw)]).dictionary_encode()
+        which, words = each.indices.to_numpy(), each.dictionary.to_pylist()
         if len(self.known) > CACHED:
             self.forget()
-        at = np.minimum(np.searchsorted(self.known, each), max(len(self.known) - 1, 0))
-        new = self.known[at] != each if len(self.known) else np.ones(len(each), bool)
-        if new.any():
-            self.learn(each[new], data, start[one[new]], end[one[new]])
-        at = np.searchsorted(self.known, each)
-        first, count = self.start[at][which], self.count[at][which]
+        slots = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            one = np.empty(len(words), np.int64)
+            one[which[::-1]] = np.arange(len(which))[::-1]  # where each came first
+            self.learn([words[i] for i in new.tolist()], data, start[one[new]], end[one[new]])
+            slots[new] = [self.known[words[i]] for i in new.tolist()]
+        at = slots[which]
+        first, count = self.start[at], self.count[at]
         total = np.cumsum(count)
         take = np.arange(total[-1]) + np.repeat(first - (total - count), count)
         text = np.searchsorted(offsets, start, "right") - 1
