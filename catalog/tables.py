@@ -592,15 +592,31 @@ def _quote_rows(s, d):
     )
     b = V.table(s, d, "benchmark").withColumn("w", words).where(F.size("w") >= 8)
     quotes = session.settle(b.select("item_id", F.posexplode(cut).alias("k", "text")), "quotes")
-    doc = V.table(s, d, "documents").withColumn("w", words).where(F.size("w") >= 8)
-    every = F.transform(F.sequence(F.lit(0), F.size("w") - 8), lambda k: F.array_join(F.slice("w", k + 1, 8), " "))
-    held = doc.select("doc_id", F.explode(F.array_distinct(every)).alias("text"))
-    pairs = held.join(quotes.select("item_id", "text").distinct(), "text").select("doc_id", "item_id").distinct()
+    # a document's stretches are looked up by a key of 64 bits; words are compared on a hit
+    at = F.sequence(F.lit(0), F.size("w") - 8)
+    doc = V.table(s, d, "documents").select("doc_id", words.alias("w")).where(F.size("w") >= 8)
+    stretch = lambda k: F.slice("w", k + 1, 8)
+    keys = doc.select("doc_id", F.posexplode(F.transform(at, lambda k: F.xxhash64(stretch(k)))).alias("k", "key"))
+    known = quotes.select("item_id", "text", F.xxhash64(F.split("text", " ")).alias("key")).distinct()
+    hits = keys.join(known, "key").select("doc_id", "k", "item_id", "text")
+    spots = hits.groupBy("doc_id").agg(F.collect_set(F.struct("k", "item_id", "text")).alias("hits"))
+    held = doc.join(spots, "doc_id").select("doc_id", F.explode(F.filter("hits", lambda h: F.array_join(stretch(h["k"]), " ") == h["text"])).alias("h"))
+    pairs = held.select("doc_id", "h.item_id").distinct()
     return pairs.join(quotes, "item_id").select(
         F.col("doc_id").alias("input"), F.concat_ws("#", "item_id", "k").alias("quote_no"), "text", F.lit(None).cast("int").alias("slack")
     )
 
 
+def _worn_quotes(s, d):
+    """Two of three quotes with letters lost or changed, and some slack for every fourth."""
+    k = F.substring_index("quote_no", "#", -1).cast("int")
+    text = F.when(k % 3 == 0, F.col("text")).when(k % 3 == 1, F.replace("text", F.lit("e"), F.lit("")))
+    return _quote_rows(s, d).select(
+        "input", "quote_no", text.otherwise(F.replace("text", F.lit("a"), F.lit("oo"))).alias("text"),
+        F.when(k % 4 == 0, F.lit(8)).alias("slack"),
+    )
+
+
 QUOTE_ROWS = r"""b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
   q AS (SELECT item_id, unnest(range(len(w) // 8)) AS k, w FROM b),
   quotes AS (SELECT item_id, k, array_to_string(w[8 * k + 1 : 8 * k + 8], ' ') AS text FROM q),
@@ -616,7 +632,22 @@ add(
       contains(hay, regexp_replace(strip_accents(text), '[^\p{L}\p{N}]', '', 'g')) AS exact
     FROM pairs p JOIN quotes USING (item_id) JOIN flat USING (doc_id)""",
 )
-add("text_layer_split", lambda s, d: SC.text_layer_split(_md(s, d), _quote_rows(s, d)))
+# every stretch of the text is tried, at each length the edits allow
+WORN_QUOTES = QUOTE_ROWS + r""",
+  worn AS (SELECT p.doc_id AS input, p.item_id || '#' || k AS quote_no, hay, CASE WHEN k % 4 = 0 THEN 8 ELSE 0 END AS slack,
+    regexp_replace(strip_accents(CASE k % 3 WHEN 0 THEN text WHEN 1 THEN replace(text, 'e', '') ELSE replace(text, 'a', 'oo') END), '[^\p{L}\p{N}]', '', 'g') AS needle
+    FROM pairs p JOIN quotes USING (item_id) JOIN flat USING (doc_id)),
+  lim AS (SELECT *, greatest(slack, length(needle) // 10) AS lim, contains(hay, needle) AS exact FROM worn),
+  spots AS (SELECT input, quote_no, hay, needle, lim, unnest(range(length(hay))) AS i FROM lim WHERE NOT exact),
+  tried AS (SELECT input, quote_no, lim, needle, substr(hay, i + 1, m::BIGINT) AS part FROM spots, range(160) r(m)
+    WHERE m BETWEEN length(needle) - lim AND length(needle) + lim AND i + m <= length(hay)),
+  near AS (SELECT DISTINCT input, quote_no FROM tried WHERE levenshtein(needle, part) <= lim),
+  held_quotes AS (SELECT l.input, l.quote_no, l.exact, l.exact OR n.input IS NOT NULL AS found FROM lim l LEFT JOIN near n USING (input, quote_no))"""
+add("quotes_found", lambda s, d: SC.quotes_found(_md(s, d), _worn_quotes(s, d)), f"WITH {WORN_QUOTES} SELECT input, quote_no, exact, found FROM held_quotes")
+add("text_layer_split", lambda s, d: SC.text_layer_split(_md(s, d), _worn_quotes(s, d)),
+    f"""WITH {WORN_QUOTES}, shares AS (SELECT input, count(*) FILTER (found) / count(*) AS share FROM held_quotes GROUP BY input)
+    SELECT doc_id AS input, share, CASE WHEN share IS NULL THEN length(hay) >= 200 ELSE share >= 0.8 END AS in_split
+    FROM flat LEFT JOIN shares ON doc_id = input""")
 add("prose_quotes", lambda s, d: SC.prose_quotes(_md(s, d)),
     r"""WITH d AS (SELECT doc_id, unnest(runs) AS run, generate_subscripts(runs, 1) AS r FROM (
       SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(text, '(?s)\$\$.*?\$\$', chr(10) || chr(10), 'g'), '<[^>]+>', ' ', 'g'), '\n\s*\n') AS runs FROM documents)),

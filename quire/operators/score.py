@@ -2,71 +2,26 @@
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import IntegerType
 
 from quire import constants as K
 from quire.functions import geometry as G, text as T
-from quire.operators import ordered as O
+from quire.operators import ordered as O, quotes as quote_index
+from quire.operators.quotes import nearest_edits  # noqa: F401
 
 # ---- quotes -----------------------------------------------------------------
 
 
-def nearest_edits(needle: str, hay: str, limit: int) -> int:
-    """Fewest edits turning needle into some stretch of hay, or limit + 1.
-
-    One row of the table per needle letter, whole hay at a time. Letters are
-    UTF-16 units. A deletion chain along the row is a running minimum.
-    """
-    if needle in hay:
-        return 0
-    if limit <= 0:
-        return 1
-    n = np.frombuffer(needle.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)
-    h = np.frombuffer(hay.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)
-    at = np.arange(len(h) + 1, dtype=np.int32)
-    row = np.zeros(len(h) + 1, dtype=np.int32)
-    for i, c in enumerate(n):
-        best = np.empty_like(row)
-        best[0] = i + 1
-        np.minimum(row[:-1] + (h != c), row[1:] + 1, out=best[1:])
-        row = np.minimum.accumulate(best - at) + at
-        if row.min() > limit:
-            return limit + 1
-    return min(int(row.min()), limit + 1)
-
-
-@F.pandas_udf(IntegerType())
-def _nearest_udf(needle: pd.Series, hay: pd.Series, limit: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if a is None or b is None else nearest_edits(a, b, int(c)) for a, b, c in zip(needle, hay, limit)],
-        dtype="Int32",
-    )
-
-
-def nearest(needle: Column, hay: Column, limit: Column) -> Column:
-    """Only a pair that is not an exact hit, with edits allowed, crosses to Python."""
-    exact = F.contains(hay, needle)
-    need = ~exact & (limit > 0)
-    fuzzy = _nearest_udf(F.when(need, needle), F.when(need, hay), limit)
-    return F.when(exact, 0).when(limit <= 0, 1).otherwise(fuzzy)
-
-
 def quotes_found(layers: DataFrame, quotes: DataFrame) -> DataFrame:
     """(input, quote_no, exact, found): each quote with a letter in it, held
     against its input's layer. layers(input, text); quotes(input, quote_no, text, slack)."""
-    hay = layers.select("input", T.plain(F.col("text")).alias("hay"))
+    hays = layers.select("input", T.plain(F.col("text")).alias("hay"))
     needles = quotes.select(
         "input", "quote_no", T.plain(F.col("text")).alias("needle"), F.coalesce("slack", F.lit(0)).alias("slack")
     ).where("needle != ''")
     limit = F.greatest(F.col("slack"), F.floor(T.utf16_length(F.col("needle")) / K.SLACK_EVERY)).cast("int")
-    return (
-        needles.join(hay, "input")
-        .withColumn("limit", limit)
-        .withColumn("edits", nearest(F.col("needle"), F.col("hay"), F.col("limit")))
-        .select("input", "quote_no", (F.col("edits") == 0).alias("exact"), (F.col("edits") <= F.col("limit")).alias("found"))
+    return quote_index.look_up(hays, needles.withColumn("limit", limit)).select(
+        "input", "quote_no", (F.col("edits") == 0).alias("exact"), (F.col("edits") <= F.col("limit")).alias("found")
     )
 
 
