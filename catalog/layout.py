@@ -57,6 +57,19 @@ add(
           x, y, (length(text) * CASE WHEN doc_id % 4 = 0 THEN 0.5 ELSE 1.0 END)::DOUBLE AS w, h FROM lines"""
     ),
 )
+add(
+    "gutter_evidence",
+    lambda s, d: LN.gutter_evidence(V.gutter_runs(s, d)),
+    f"WITH {L.GUTTERS} SELECT doc_id, page, run_no, half, clear, inked, side FROM said",
+)
+add(
+    "gutter_lines",
+    lambda s, d: _flat_box(LN.runs_to_lines(V.gutter_runs(s, d))).select(*PAGE, "text", "size", "x", "y", "w"),
+    f"""WITH {L.GUTTERS} SELECT doc_id, page, text, size, x, y, w FROM (
+      SELECT doc_id, page, size, y, x, CASE WHEN joins THEN right_x + right_w - x ELSE w END AS w,
+        CASE WHEN joins THEN trim(text || ' ' || right_text) ELSE text END AS text FROM judged
+      UNION ALL SELECT doc_id, page, size, y, right_x, right_w, right_text FROM judged WHERE NOT joins)""",
+)
 add(
     "text_layer",
     lambda s, d: V.layers(s, d),

@@ -49,6 +49,48 @@ lines AS (
   SELECT doc_id, page, 31, 'Page ' || page, 10.0, 72.0, 760.0, 200.0, 10.0, false, false FROM sheets)"""
 )
 
+# Two runs a line, the gap between them judged by the lines around.
+GUTTERS = (
+    PARAS
+    + """,
+split_lines AS (
+  SELECT doc_id, i // 30 + 1 AS page, i % 30 AS slot, string_split(raw, ' ') AS ws, (60 + 12 * (i % 30))::DOUBLE AS y,
+    CASE WHEN doc_id % 3 = 2 AND i % 9 = 4 THEN 14.0 ELSE 10.0 END::DOUBLE AS size,
+    (CASE WHEN doc_id % 3 = 1 OR (doc_id % 3 = 2 AND i // 7 % 2 = 1) THEN 90 + i * 37 % 160 ELSE 160 END)::DOUBLE AS w,
+    0.8::DOUBLE + i % 4 * 0.5::DOUBLE AS wide, (200 - i % 5 * 40)::DOUBLE AS right_w, i % 8 = 7 AS short
+  FROM doc_lines),
+two AS (
+  SELECT doc_id, page, slot, y, size, 72.0::DOUBLE AS x, w, len(ws) >= 2 AND NOT short AS has_right,
+    array_to_string(ws[1 : (len(ws) + 1) // 2], ' ') AS text, 72 + w + size * wide AS right_x, right_w,
+    array_to_string(ws[(len(ws) + 1) // 2 + 1 :], ' ') AS right_text, size * 0.8::DOUBLE AS h
+  FROM split_lines),
+gaps AS (
+  SELECT *, right_x - (x + w) AS gap, has_right AND right_x - (x + w) > 0.6 * h AND right_x - (x + w) <= 2.5 * size AS asked FROM two),
+strips AS (
+  SELECT doc_id, page, slot, y, size, 0 AS half, x + w + 0.15 * size AS lo, (x + w + right_x) / 2 AS hi FROM gaps WHERE asked
+  UNION ALL SELECT doc_id, page, slot, y, size, 1, (x + w + right_x) / 2, right_x - 0.15 * size FROM gaps WHERE asked),
+around AS (
+  SELECT s.doc_id, s.page, s.slot, s.half, k.slot > s.slot AS below, abs(k.slot - s.slot) AS off,
+    NOT (k.x < s.hi AND k.x + k.w > s.lo) AND NOT (k.has_right AND k.right_x < s.hi AND k.right_x + k.right_w > s.lo) AS free
+  FROM strips s JOIN two k ON k.doc_id = s.doc_id AND k.page = s.page AND k.slot <> s.slot AND abs(k.y - s.y) <= 5 * s.size
+    AND greatest(k.size, s.size) <= 1.25 * least(k.size, s.size)
+    AND (k.x < s.lo OR (k.has_right AND k.right_x < s.lo)) AND (k.x + k.w > s.hi OR (k.has_right AND k.right_x + k.right_w > s.hi))),
+nearest AS (SELECT * FROM around QUALIFY row_number() OVER (PARTITION BY doc_id, page, slot, half, below ORDER BY off) <= 3),
+sides AS (
+  SELECT doc_id, page, slot, half, below, count(*) AS n, count(*) FILTER (free) AS c FROM nearest GROUP BY ALL),
+said AS (
+  SELECT doc_id, page, slot, slot * 2 + 1 AS run_no, half, coalesce(sum(c), 0)::INT AS clear, coalesce(sum(n - c), 0)::INT AS inked,
+    coalesce(bool_or(n = 3 AND c = 3), false) AS side
+  FROM strips LEFT JOIN sides USING (doc_id, page, slot, half) GROUP BY doc_id, page, slot, half),
+verdict AS (
+  SELECT doc_id, page, slot, NOT bool_or(side OR (clear >= 3 AND clear > inked)) AND bool_or(inked > 0) AS is_space
+  FROM said GROUP BY doc_id, page, slot),
+judged AS (
+  SELECT g.*, NOT has_right OR gap <= 0.6 * h OR coalesce(is_space, false) AS joins
+  FROM (SELECT * REPLACE (CASE WHEN has_right THEN right_text ELSE '' END AS right_text, CASE WHEN has_right THEN right_x ELSE x + w END AS right_x,
+    CASE WHEN has_right THEN right_w ELSE 0 END AS right_w) FROM gaps) g LEFT JOIN verdict USING (doc_id, page, slot))"""
+)
+
 BULLETS = "■□▪▫●○◦•‣⁃◆◇❏❑❒❘❙❚❖➥"
 
 

@@ -2,7 +2,8 @@
 
 The page is the unit: which run joins which depends on the runs before it. A
 page's runs are gathered natively and only their geometry crosses to Python,
-which answers with a line number per run; the words never leave the JVM.
+which answers with a line number per run; the words never leave the JVM. Whole
+batches of pages are taken at a time (`bands`).
 """
 
 import numpy as np
@@ -12,151 +13,55 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
 
 from quire import constants as K
 from quire.functions import geometry as G, text as T
-from quire.operators import paged
+from quire.operators import bands, paged
 
 PAGE = ["doc_id", "page"]
 
 
-def _alike(a: float, b: float) -> bool:
-    return max(a, b) <= K.SAME_SIZE * min(a, b)
-
-
-class _Band:
-    """Runs that stand on one baseline, and the baseline they stand on."""
-
-    __slots__ = ("runs", "top", "low", "base", "size")
-
-    def __init__(self, i, y, h, base, size):
-        self.runs, self.top, self.low, self.base, self.size = [i], y, y + h, base, size
-
-    def stands(self, y, h) -> bool:
-        """One's middle is in the other's span, half of it overlapping."""
-        shared = min(self.low, y + h) - max(self.top, y)
-        mine, yours = (self.top + self.low) / 2, (y + (y + h)) / 2
-        return (self.top <= yours <= self.low and shared >= K.BASELINE_OVERLAP * ((y + h) - y)) or (
-            y <= mine <= y + h and shared >= K.BASELINE_OVERLAP * (self.low - self.top)
-        )
-
-    def take(self, i, y, h, base, size):
-        self.runs.append(i)
-        self.top, self.low = min(self.top, y), max(self.low, y + h)
-        if size > self.size:
-            self.base, self.size = base, size
-
-
-def _bands(x, y, h, base, size) -> list[_Band]:
-    bands: list[_Band] = []
-    live: list[_Band] = []
-    for i in np.lexsort((x, y)).tolist():
-        live = [b for b in live if b.low >= y[i]]
-        fits = [
-            b
-            for b in live
-            if (b is bands[-1] or _alike(size[i], b.size))
-            and abs(base[i] - b.base) <= K.BASELINE_SHIFT * min(size[i], b.size)
-            and b.stands(y[i], h[i])
-        ]
-        if fits:
-            min(fits, key=lambda b: abs(base[i] - b.base)).take(i, y[i], h[i], base[i], size[i])
-        else:
-            bands.append(_Band(i, y[i], h[i], base[i], size[i]))
-            live.append(bands[-1])
-    return bands
-
-
-class _Page:
-    """One page's runs as parallel lists, and what its bands say of a strip."""
-
-    def __init__(self, x, y, w, h, base, size, marker):
-        self.x, self.right, self.h, self.size, self.marker = x, [a + b for a, b in zip(x, w)], h, size, marker
-        self.bands = _bands(x, y, h, base, size)
-        self.tops = [y[b.runs[0]] for b in self.bands]
-
-    def _seen(self, k: int, lo: float, hi: float, size: float):
-        """How band k crosses the strip, in type of this size: None when it does
-        not reach across, else whether it is clear there."""
-        near = [r for r in self.bands[k].runs if _alike(self.size[r], size)]
-        if not (any(self.x[r] < lo for r in near) and any(self.right[r] > hi for r in near)):
-            return None
-        return not any(self.x[r] < hi and self.right[r] > lo for r in near)
-
-    def evidence(self, i: int, lo: float, hi: float, size: float):
-        """(clear, inked, one side all clear) over the nearest lines each way."""
-        clear = inked = 0
-        side_clear = False
-        for ks in (range(i - 1, -1, -1), range(i + 1, len(self.bands))):
-            said = []
-            for k in ks:
-                if abs(self.tops[k] - self.tops[i]) > K.GUTTER_LOOK * size or len(said) == K.GUTTER_LINES:
-                    break
-                if (free := self._seen(k, lo, hi, size)) is not None:
-                    said.append(free)
-            clear += sum(said)
-            inked += len(said) - sum(said)
-            side_clear |= len(said) == K.GUTTER_LINES and all(said)
-        return clear, inked, side_clear
-
-    def is_space(self, i: int, edge: float, start: float, size: float) -> bool:
-        """A wide gap is still a space when the lines around have ink in it and
-        neither half of it is a gutter."""
-        inset, middle = K.GUTTER_INSET * size, (edge + start) / 2
-        halves = [self.evidence(i, edge + inset, middle, size), self.evidence(i, middle, start - inset, size)]
-        if any(side or (clear >= K.GUTTER_CLEAR and clear > ink) for clear, ink, side in halves):
-            return False
-        return any(ink for _, ink, _ in halves)
-
-    def line_ids(self) -> tuple[list[int], list[int], list[bool]]:
-        """For each run: its line, its place in it, whether a gap parts it from
-        the run before."""
-        n = len(self.x)
-        lines, places, gaps = [0] * n, [0] * n, [False] * n
-        line = -1
-        for i, band in enumerate(self.bands):
-            edge = prev = None
-            place = 0
-            for r in sorted(band.runs, key=self.x.__getitem__):
-                joins = False
-                if prev is not None:
-                    lone = place == 1 and self.marker[prev]
-                    gap = self.x[r] - edge
-                    ratio = K.MARKER_GAP_RATIO if lone else K.JOIN_GAP_RATIO
-                    joins = gap <= ratio * max(self.h[prev], self.h[r])
-                    if not joins and not lone:
-                        size = min(self.size[prev], self.size[r])
-                        joins = (
-                            gap <= K.WORD_SPACE * size
-                            and _alike(self.size[prev], self.size[r])
-                            and self.is_space(i, edge, self.x[r], size)
-                        )
-                if joins:
-                    gaps[r] = gap > K.SPACE_GAP_RATIO * max(self.h[r], 1.0)
-                    place, edge = place + 1, max(edge, self.right[r])
-                else:
-                    line, place, edge = line + 1, 1, self.right[r]
-                lines[r], places[r] = line, place
-                prev = r
-        return lines, places, gaps
-
-
 _LINE = ArrayType(
     StructType().add("line", IntegerType()).add("place", IntegerType()).add("gap", BooleanType())
 )
+_STRIP = ArrayType(
+    StructType()
+    .add("run", IntegerType())
+    .add("half", IntegerType())
+    .add("clear", IntegerType())
+    .add("inked", IntegerType())
+    .add("side", BooleanType())
+)
+
+
+def _lines(marker: pa.Array, *numbers: pa.Array) -> bands.Lines:
+    flat = [c.flatten().to_numpy(zero_copy_only=False).astype(float) for c in numbers]
+    marked = marker.flatten().fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+    return bands.Lines(*flat, marked, paged.lengths(marker))
 
 
 @F.arrow_udf(_LINE)
 def _assign_lines(
     x: pa.Array, y: pa.Array, w: pa.Array, h: pa.Array, base: pa.Array, size: pa.Array, marker: pa.Array
 ) -> pa.Array:
-    line, place, gap = [], [], []
-    for page in paged.pages(x, y, w, h, base, size, marker):
-        for out, got in zip((line, place, gap), _Page(*[v.tolist() for v in page]).line_ids()):
-            out.extend(got)
-    return paged.pack(x, line=paged.ints(line), place=paged.ints(place), gap=pa.array(gap, type=pa.bool_()))
+    on = _lines(marker, x, y, w, h, base, size)
+    return paged.pack(x, line=paged.ints(on.line), place=paged.ints(on.place), gap=pa.array(on.gap))
 
 
-def runs_to_lines(runs: DataFrame) -> DataFrame:
-    """runs(doc_id, page, run_no, text, lead, trail, box, base, size, bold, italic, font)
-    to lines(doc_id, page, line_no, text, box, size, bold, italic, font)."""
+@F.arrow_udf(_STRIP)
+def _strips(
+    x: pa.Array, y: pa.Array, w: pa.Array, h: pa.Array, base: pa.Array, size: pa.Array, marker: pa.Array
+) -> pa.Array:
+    on, count = _lines(marker, x, y, w, h, base, size), paged.lengths(x)
+    page = np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((on.strip_half, on.strip_run))
+    run = on.strip_run[order]
+    edges = np.concatenate([[0], np.cumsum(np.bincount(page[run], minlength=len(count)))]).astype(np.int32)
+    place = run - (np.cumsum(count) - count)[page[run]]
+    fields = [paged.ints(v) for v in (place, on.strip_half[order], on.clear[order], on.inked[order])]
+    strips = pa.StructArray.from_arrays([*fields, pa.array(on.side[order])], ["run", "half", "clear", "inked", "side"])
+    return pa.ListArray.from_arrays(pa.array(edges), strips)
+
+
+def _pages(runs: DataFrame):
+    """A page's runs as one array, by run_no, and the columns the page functions take."""
     marker = F.trim("text").rlike(T.BULLET_ONLY_RE) | F.trim("text").rlike(T.MARKER_ONLY_RE)
     one = F.struct(
         "run_no",
@@ -172,20 +77,25 @@ def runs_to_lines(runs: DataFrame) -> DataFrame:
         marker.alias("marker"),
     )
     pages = runs.groupBy(*PAGE).agg(F.sort_array(F.collect_list(one)).alias("runs"))
+    columns = [*(f"box.{c}" for c in "xywh"), "base", "size", "marker"]
+    return pages, [F.col(f"runs.{c}") for c in columns]
 
-    def column(get):
-        return F.transform("runs", get)
-
-    fold = _assign_lines(
-        column(lambda r: r["box"]["x"]),
-        column(lambda r: r["box"]["y"]),
-        column(lambda r: r["box"]["w"]),
-        column(lambda r: r["box"]["h"]),
-        column(lambda r: r["base"]),
-        column(lambda r: r["size"]),
-        column(lambda r: r["marker"]),
-    )
-    placed = pages.withColumn("at", fold).select(*PAGE, F.inline(F.arrays_zip("runs", "at")))
+
+def gutter_evidence(runs: DataFrame) -> DataFrame:
+    """(doc_id, page, run_no, half, clear, inked, side) for each gap that could be a
+    gutter or a space: what the nearest lines above and below that run across its left
+    (0) or right (1) half, in type of its size, have there. run_no: the run after the
+    gap; side: one side's lines, as many as count, are all clear."""
+    pages, columns = _pages(runs)
+    found = pages.withColumn("s", _strips(*columns)).select(*PAGE, "runs", F.explode("s").alias("s"))
+    return found.select(*PAGE, F.element_at("runs", F.col("s.run") + 1)["run_no"].alias("run_no"), "s.half", "s.clear", "s.inked", "s.side")
+
+
+def runs_to_lines(runs: DataFrame) -> DataFrame:
+    """runs(doc_id, page, run_no, text, lead, trail, box, base, size, bold, italic, font)
+    to lines(doc_id, page, line_no, text, box, size, bold, italic, font)."""
+    pages, columns = _pages(runs)
+    placed = pages.withColumn("at", _assign_lines(*columns)).select(*PAGE, F.inline(F.arrays_zip("runs", "at")))
     placed = placed.select(
         *PAGE, "runs.*", F.col("at.line").alias("line"), F.col("at.place").alias("place"), F.col("at.gap").alias("gap")
     )

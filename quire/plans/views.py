@@ -201,6 +201,30 @@ def layout_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def gutter_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed lines as two runs with a wide gap between: in one document of three the
+    gaps lie under one another, as a gutter does; in one they wander, as spaces do; in
+    one they do now this, now that. Some lines are short, some larger than the rest."""
+    n = LINES_PER_PAGE
+    d = doc_lines(spark, sf_dir).select("doc_id", "i", F.split("raw", " ").alias("words"))
+    slot, kind = (F.col("i") % n).cast("int"), F.col("doc_id") % 3
+    wanders = (kind == 1) | ((kind == 2) & (F.floor(F.col("i") / 7) % 2 == 1))
+    size = F.when((kind == 2) & (F.col("i") % 9 == 4), 14.0).otherwise(10.0)
+    width = F.when(wanders, 90 + F.col("i") * 37 % 160).otherwise(160)
+    gap = size * (0.8 + F.col("i") % 4 * 0.5)
+    half = F.ceil(F.size("words") / 2).cast("int")
+    one = lambda k, x, w, text: F.struct(F.lit(k).alias("k"), x.cast("double").alias("x"), w.cast("double").alias("w"), text.alias("text"))
+    left = one(0, F.lit(72), width, F.array_join(F.slice("words", 1, half), " "))
+    right = one(1, 72 + width + gap, F.lit(200) - F.col("i") % 5 * 40, F.array_join(F.slice("words", half + 1, F.size("words")), " "))
+    both = F.when((F.size("words") < 2) | (F.col("i") % 8 == 7), F.array(left)).otherwise(F.array(left, right))
+    y = 60 + 12 * slot
+    return d.select("doc_id", "i", slot.alias("slot"), size.alias("size"), y.cast("double").alias("y"), F.explode(both).alias("r")).select(
+        "doc_id", (F.floor(F.col("i") / n) + 1).cast("int").alias("page"), (F.col("slot") * 2 + F.col("r.k")).alias("run_no"),
+        "r.text", F.lit(True).alias("lead"), F.lit(False).alias("trail"), G.box(F.col("r.x"), F.col("y"), F.col("r.w"), F.col("size") * 0.8).alias("box"),
+        (F.col("y") + F.col("size") * 0.8).alias("base"), "size", F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit("Body").alias("font"),
+    )
+
+
 def layout_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw pictures: one in five pages has a figure, one in seven a speck."""
     pages = layout_pages(spark, sf_dir)
