@@ -26,7 +26,7 @@ from quire.llm import kernels as K
 from quire.llm.common import settle, shared
 
 INDEX = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
-CACHED = 500_000  # stretches an encoder remembers
+CACHED = 1_000_000  # stretches an encoder remembers
 
 
 def masked(data: bytes) -> int:
@@ -101,10 +101,10 @@ class Encoder:
         self.forget()
 
     def forget(self):
-        self.known: dict[bytes, int] = {}  # a stretch's own bytes, so none passes for another
-        self.start = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        """Stretches known: their ids, their bytes, and slots by hash."""
+        self.start = self.count = self.begin = self.size = self.slot = np.zeros(0, np.int64)
+        self.ids, self.bytes = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.known = np.zeros(0, np.uint64)
 
     def joined(self, data, start, end):
         """(ids, counts) of stretches that hold no line feed and neither begin nor end
@@ -124,7 +124,8 @@ class Encoder:
         feeds = np.flatnonzero(ids == self.feed)
         return ids[ids != self.feed], np.diff(feeds, prepend=-1) - 1
 
-    def learn(self, words, data, start, end):
+    def learn(self, data, start, end):
+        """Encodes stretches; they get the next slots, in order."""
         feeds = np.concatenate([[0], np.cumsum(data == 0x0A)])
         first = start + (data[start] == 0x20)
         last = data[end - 1]
@@ -132,21 +133,36 @@ class Encoder:
         head = data[np.minimum(first, len(data) - 1)]
         easy &= (_SOLID[head] | (head == 0xC3)) & (_SOLID[last] | ((data[end - 2] == 0xC3) & (end - start > 1)))
         easy &= self.feed is not None
+        many, parts = np.zeros(len(start), np.int64), []
         if easy.any():
-            self.add(words, np.flatnonzero(easy), *self.joined(data, start[easy], end[easy]))
+            flat, many[easy] = self.joined(data, start[easy], end[easy])
+            parts.append(flat)
         if not easy.all():
             rest = ~easy
             texts = [data[a:b].tobytes().decode() for a, b in zip(start[rest].tolist(), end[rest].tolist())]
             got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            count = np.fromiter(map(len, got), np.int64, len(got))
-            self.add(words, np.flatnonzero(rest), np.fromiter((x for ids in got for x in ids), np.uint32, int(count.sum())), count)
-
-    def add(self, words, which, flat, count):
-        for slot, i in enumerate(which.tolist(), len(self.start)):
-            self.known[words[i]] = slot
-        self.start = np.concatenate([self.start, np.cumsum(count) - count + len(self.ids)])
-        self.count = np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, flat])
+            many[rest] = np.fromiter(map(len, got), np.int64, len(got))
+            parts.append(np.fromiter((x for ids in got for x in ids), np.uint32, int(many[rest].sum())))
+        at = np.empty(len(start), np.int64)  # where each one's ids begin: the easy ones lie first
+        order = np.argsort(~easy, kind="stable")
+        at[order] = np.cumsum(many[order]) - many[order] + len(self.ids)
+        self.start, self.count = np.concatenate([self.start, at]), np.concatenate([self.count, many])
+        self.ids = np.concatenate([self.ids, *parts])
+
+    def find(self, hashes, data, start, end):
+        """The slot of each stretch that is known, byte for byte; -1 for others."""
+        at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
+        slots = np.full(len(hashes), -1)
+        met = np.flatnonzero(self.known[at] == hashes) if len(self.known) else at[:0]
+        own = self.slot[at[met]]
+        size = (end - start)[met]
+        met, own, size = (v[size == self.size[own]] for v in (met, own, size))
+        if len(met):
+            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            same = data[np.repeat(start[met], size) + step] == self.bytes[np.repeat(self.begin[own], size) + step]
+            same = np.logical_and.reduceat(same, np.cumsum(size) - size)
+            slots[met[same]] = own[same]
+        return slots
 
     def encode(self, data: np.ndarray, offsets: np.ndarray):
         """(ids of all texts end to end, number of ids of each text)."""
@@ -157,19 +173,26 @@ class Encoder:
         cut = np.zeros(len(data), bool) if any(x in raw for x in self.special) else cuts(data)
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         start = np.flatnonzero(cut)
-        end = np.append(start[1:], len(data))
         edges = pa.py_buffer(np.append(start, len(data)).astype(np.int64))
         each = pa.Array.from_buffers(pa.large_binary(), len(start), [None, edges, pa.py_buffer(raw)]).dictionary_encode()
-        which, words = each.indices.to_numpy(), each.dictionary.to_pylist()
-        if len(self.known) > CACHED:
+        which = each.indices.to_numpy()
+        words, ends = K.buffers(each.dictionary)  # the distinct stretches, end to end
+        begin, end = ends[:-1], ends[1:]
+        hashes = K.hash_runs(words, begin, end)
+        if len(self.start) > CACHED:
             self.forget()
-        slots = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        slots = self.find(hashes, words, begin, end)
         new = np.flatnonzero(slots < 0)
         if len(new):
-            one = np.empty(len(words), np.int64)
-            one[which[::-1]] = np.arange(len(which))[::-1]  # where each came first
-            self.learn([words[i] for i in new.tolist()], data, start[one[new]], end[one[new]])
-            slots[new] = [self.known[words[i]] for i in new.tolist()]
+            slots[new] = len(self.start) + np.arange(len(new))
+            self.learn(words, begin[new], end[new])
+            size = (end - begin)[new]
+            step = np.arange(int(size.sum())) + np.repeat(begin[new] - (np.cumsum(size) - size), size)
+            self.begin = np.concatenate([self.begin, np.cumsum(size) - size + len(self.bytes)])
+            self.size, self.bytes = np.concatenate([self.size, size]), np.concatenate([self.bytes, words[step]])
+            # of stretches alike in hash but not in bytes the first known is found again
+            self.known, first = np.unique(np.concatenate([self.known, hashes[new]]), return_index=True)
+            self.slot = np.concatenate([self.slot, slots[new]])[first]
         at = slots[which]
         first, count = self.start[at], self.count[at]
         total = np.cumsum(count)
