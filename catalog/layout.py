@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog import layout_sql as L
 from quire.functions import geometry as G, runs as R, text as T
 from quire.operators import decisions as D, emit as E, furniture as FU, lines as LN, structure as S
-from quire.plans import views as V
+from quire.plans import convert as C, views as V
 from quire.session import settle
 
 PAGE = ["doc_id", "page"]
@@ -155,6 +155,23 @@ add(
     ),
     L.with_blocks("SELECT * FROM blocks"),
 )
+add(
+    "page_status",
+    lambda s, d: C.lay_out(V.damaged_runs(s, d), seconds=V.page_seconds()).status,
+    L.with_lines(
+        """SELECT doc_id, page, CASE WHEN (doc_id + page) % 11 = 3 THEN 'broken' WHEN (doc_id + page) % 13 = 5 THEN 'slow' ELSE 'laid out' END AS state,
+        CASE WHEN (doc_id + page) % 11 = 3 THEN CASE WHEN doc_id % 2 = 0 THEN 'base' ELSE 'box' END END AS problem FROM layout_pages"""
+    ),
+)
+add(
+    "sound_blocks",
+    lambda s, d: _flat_box(C.lay_out(V.damaged_runs(s, d), V.layout_links(s, d), seconds=V.page_seconds()).blocks).select(
+        *PAGE, "ord", "block_id", "x", "y", "w", "h", F.size("lines").alias("n_lines"), "text", "role", "level", "depth",
+        "bold", "italic", "marker", "size",
+    ),
+    # a broken page's lines count in nothing; a slow page's count in its document's facts
+    f"WITH {L.SOUND}, timely AS (SELECT *, (doc_id + page) % 13 = 5 AS slow FROM blocks) SELECT * EXCLUDE (slow) FROM timely WHERE NOT slow",
+)
 add(
     "list_depth",
     lambda s, d: blocks_of(s, d).where("role in ('bullet','numbered','alpha','roman')").select(*PAGE, "block_id", "depth"),

@@ -45,6 +45,9 @@ DESCENDER = -0.22
 DEFAULT_ASCENT = 0.9
 DEFAULT_DESCENT = -0.21
 
+# Fixed value: how long one page may take, in seconds.
+PAGE_SECONDS = 120.0
+
 # Links and pictures.
 LINK_COVER = 0.5
 MIN_PICTURE_PT = 4

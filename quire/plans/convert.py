@@ -1,8 +1,9 @@
 """Whole pipelines: layout to blocks, blocks to markdown, for all or what changed."""
 
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quire import constants as K
 from quire.functions import runs as R
@@ -11,12 +12,45 @@ from quire.operators.fidelity import fidelity_pages, sides
 from quire.session import settle
 
 
-def read_blocks(runs: DataFrame, links: DataFrame | None = None, pictures: DataFrame | None = None) -> DataFrame:
-    """Runs, links and kept pictures to blocks in reading order."""
-    lines = L.runs_to_lines(runs)
+class Laid(NamedTuple):
+    """blocks in reading order; what became of each page: status(doc_id, page, state,
+    problem), where state is laid out, broken, slow or failed; and the broken pages with
+    the number of their bad_runs."""
+
+    blocks: DataFrame
+    status: DataFrame
+    broken: DataFrame
+
+
+def lay_out(
+    runs: DataFrame, links: DataFrame | None = None, pictures: DataFrame | None = None, seconds: Column | float = K.PAGE_SECONDS
+) -> Laid:
+    """Runs, links and kept pictures to blocks, page by page: one page stops no other.
+
+    A page with a run that can't be placed is broken (``sound_pages``); one that takes
+    longer than its seconds is slow; one whose reading fails is failed. They have no
+    blocks and are named in status. A broken page's lines count in no fact about its
+    document; a slow page's do. A run without a page is named under a null page.
+    """
+    sound, broken = sound_pages(runs)
+    lines = L.runs_to_lines(sound)
     if links is not None:
         lines = L.mark_links(lines, links)
-    return S.structure(settle(lines, "lines"), pictures)
+    lines = settle(lines, "lines")
+    if pictures is not None:
+        pictures = pictures.join(broken.select(*S.PAGE), S.PAGE, "left_anti")
+    blocks, late = S.structure_in_time(lines, pictures, F.lit(seconds) if isinstance(seconds, (int, float)) else seconds)
+    state = F.substring_index("state", ": ", 1)
+    problem = F.when(F.col("state") != state, F.substring_index("state", ": ", -1))
+    late = late.select(*S.PAGE, state.alias("state"), problem.alias("problem"))
+    good = lines.select(*S.PAGE).distinct().join(late.select(*S.PAGE), S.PAGE, "left_anti")
+    good = good.select(*S.PAGE, F.lit("laid out").alias("state"), F.lit(None).cast("string").alias("problem"))
+    return Laid(blocks, good.unionByName(late).unionByName(broken.select(*S.PAGE, F.lit("broken").alias("state"), "problem")), broken)
+
+
+def read_blocks(runs: DataFrame, links: DataFrame | None = None, pictures: DataFrame | None = None) -> DataFrame:
+    """``lay_out``'s blocks alone."""
+    return lay_out(runs, links, pictures).blocks
 
 
 def sound_pages(runs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -201,6 +201,22 @@ def layout_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each printed line as one run; on one page in eleven one lacks its base or its width."""
+    hurt = ((F.col("doc_id") + F.col("page")) % 11 == 3) & (F.col("line_no") == 0)
+    no_base, no_width = hurt & (F.col("doc_id") % 2 == 0), hurt & (F.col("doc_id") % 2 == 1)
+    width = F.when(no_width, F.lit(float("nan"))).otherwise(F.col("box.w"))
+    return layout_lines(spark, sf_dir).select(
+        "doc_id", "page", F.col("line_no").alias("run_no"), "text", F.lit(False).alias("lead"), F.lit(False).alias("trail"),
+        F.col("box").withField("w", width).alias("box"), F.when(~no_base, G.bottom(F.col("box"))).alias("base"), "size", "bold", "italic", "font",
+    )
+
+
+def page_seconds() -> Column:
+    """A time budget that one page in thirteen can't keep."""
+    return F.when((F.col("doc_id") + F.col("page")) % 13 == 5, 0.0).otherwise(120.0)
+
+
 def gutter_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printed lines as two runs with a wide gap between: in one document of three the
     gaps lie under one another, as a gutter does; in one they wander, as spaces do; in

@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType, StructType
 from quire import schemas
 from quire.operators import decisions as D, emit as E, ingest as I
 from quire.operators.log import NAMES, State, out_of
-from quire.plans.convert import read_blocks, sound_pages
+from quire.plans.convert import lay_out
 from quire.session import settle
 from quire.sources.tables import layout_tables
 
@@ -24,15 +24,15 @@ def layout_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def convert_stream(docs: DataFrame, out: str, checkpoint: str):
     """Layout files to blocks and markdown lines, each file once. A batch is
-    written under its own number, so a batch run again replaces itself. Pages that
-    can't be laid out are named under ``errors``; the others go on."""
+    written under its own number, so a batch run again replaces itself. What became of
+    each page is said under ``status``; pages that can't be laid out stop no other."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
         t = layout_tables(df)
-        runs, errors = sound_pages(t["runs"])
-        blocks = settle(read_blocks(runs, t["links"], t["pictures"]), "blocks")
+        laid = lay_out(t["runs"], t["links"], t["pictures"])
+        blocks = settle(laid.blocks, "blocks")
         md = E.emit(blocks, t["pages"], pictures=t["pictures"])
-        for name, table in (("blocks", blocks), ("md_lines", md.lines), ("errors", errors)):
+        for name, table in (("blocks", blocks), ("md_lines", md.lines), ("status", laid.status), ("errors", laid.broken)):
             table.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
 
     return (
