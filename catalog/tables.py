@@ -833,6 +833,21 @@ def _docs(s, d):
 
 add("stale_reads", lambda s, d: D.stale_reads(_docs(s, d), V.decisions(s, d)),
     "SELECT doc_id, doc_id % 6 AS reader FROM documents WHERE doc_id % 6 <> 5 AND doc_id NOT IN (SELECT user_id FROM events)")
+def _landing(s, d):
+    """Every document lands; two of three were converted, some since changed or by an
+    older version; users with events have decisions."""
+    docs = V.table(s, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("revision"))
+    m = F.col("doc_id") % 6
+    done = docs.where(F.col("doc_id") % 3 != 0).select(
+        "doc_id", F.when(m == 1, "older").otherwise(F.col("revision")).alias("revision"), F.when(m == 2, 4).otherwise(5).alias("version"),
+        F.when(m == 4, "other").otherwise("").alias("pins"),
+    )
+    return C.plan_landing(docs, done.unionByName(done.where(m == 1)), V.decisions(s, d), 5)
+
+
+add("plan_landing", lambda s, d: _landing(s, d),
+    """SELECT doc_id, sha256(coalesce(text, '')) AS revision, CASE WHEN doc_id % 6 = 5 THEN 'done'
+      WHEN doc_id % 3 <> 0 AND doc_id IN (SELECT user_id FROM events) THEN 'pinned' ELSE 'convert' END AS state FROM documents""")
 add("rehead_joins", lambda s, d: D.rehead(
         V.layout_pages(s, d).select("doc_id", F.format_string("p%db2", "page").alias("child"), F.format_string("p%db1", "page").alias("head")),
         V.layout_pages(s, d).select("doc_id", F.format_string("p%db0", "page").alias("head"), F.format_string("p%db1", "page").alias("member"))),
@@ -875,7 +890,7 @@ def _place(s, name):
 def _latest_stream(s, d):
     out, check = _place(s, "latest")
     J.latest_decisions_stream(_event_stream(s, d).select("doc_id", "seq", "action", "block_id"), out, check).awaitTermination()
-    return s.read.parquet(f"{out}/version=0")
+    return J.read_latest(s, out)
 
 
 add("latest_decisions_stream", _latest_stream, QUERIES["latest_decisions"][1])

@@ -68,6 +68,24 @@ def sound_pages(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return runs.where("page is not null").join(errors.select("doc_id", "page"), ["doc_id", "page"], "left_anti"), errors
 
 
+def plan_landing(landed: DataFrame, done: DataFrame, decided: DataFrame, version: int = K.READER_VERSION, pins: str = "") -> DataFrame:
+    """landed(doc_id, revision) with state: what is to become of each document.
+
+    ``done`` if that revision was converted by this version under these pins: nothing is
+    to do. ``pinned`` if the document has decisions and was converted before: decisions
+    name blocks of that reading, so it stands. ``convert`` otherwise. done(doc_id,
+    revision, version, pins) is what was converted; decided(doc_id) what has decisions.
+    """
+    same = (F.col("_revision") == F.col("revision")) & (F.col("_version") == version) & (F.col("_pins") == pins)
+    before = done.select("doc_id", *[F.col(c).alias(f"_{c}") for c in ("revision", "version", "pins")])
+    known = landed.join(before, "doc_id", "left").groupBy("doc_id", "revision").agg(
+        F.coalesce(F.bool_or(same), F.lit(False)).alias("_same"), (F.count("_revision") > 0).alias("_read")
+    )
+    held = decided.select("doc_id").distinct().withColumn("_decided", F.lit(True))
+    state = F.when(F.col("_same"), "done").when(F.col("_read") & F.col("_decided"), "pinned").otherwise("convert")
+    return known.join(held, "doc_id", "left").select("doc_id", "revision", state.alias("state"))
+
+
 def raw_to_runs(raw: DataFrame, pages: DataFrame) -> DataFrame:
     """Pieces as an extractor gives them (matrix, width, height, ascent, descent,
     vertical, flags) to runs with boxes, bases and sizes."""
