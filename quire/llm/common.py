@@ -53,6 +53,19 @@ def placed(df: DataFrame, *columns: str) -> DataFrame:
         )
 
 
+ALL = "_all"
+
+
+def whole(df: DataFrame):
+    """All columns of df as one, so that no name of theirs can meet one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ALL)
+
+
+def apart(names: list[str]) -> list:
+    """The columns that ``whole`` put together."""
+    return [F.col(f"{ALL}.`{c}`").alias(c) for c in names]
+
+
 def blocked(df: DataFrame, rows: int, *columns: str) -> DataFrame:
     """``placed`` with _at_block, one value for each run of rows of one file."""
     return placed(df, *columns).withColumn(BLOCK, F.xxhash64(FILE, F.floor(F.col(ROW) / rows)))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm import kernels as K
-from quire.llm.common import FILE, ROW, placed, settle
+from quire.llm.common import ALL, FILE, ROW, apart, placed, settle, whole
 
 WIDTH, HASHES = 5, 96
 _rng = np.random.default_rng(7)
@@ -170,9 +170,10 @@ def contamination(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """docs without those that hold a test item, told by place."""
-    names = docs.columns
-    at = placed(docs, *names)
+    """docs (its own columns, whatever their names) without those that hold a test item,
+    told by place."""
+    at = placed(docs.select(whole(docs)), ALL)
     at = at.withColumn("_place", F.concat_ws(":", FILE, ROW))
-    hit = settle(contamination(at.select("_place", "text"), benchmark, threshold, "_place").select("_place").distinct())
-    return at.join(hit, "_place", "left_anti").select(*names)
+    texts = at.select("_place", F.col(f"{ALL}.text").alias("text"))
+    hit = settle(contamination(texts, benchmark, threshold, "_place").select("_place").distinct())
+    return at.join(hit, "_place", "left_anti").select(*apart(docs.columns))

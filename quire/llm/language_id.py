@@ -11,9 +11,10 @@ window costs one gather and one maximum.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from quire.llm import kernels as K
-from quire.llm.common import FILE, ROW, placed
+from quire.llm.common import ALL, apart, whole
 
 WIDTHS, FILTERS, WINDOW, CLASSES = (2, 3, 4), 12, 256, 64
 
@@ -156,12 +157,13 @@ def sample(labelled: DataFrame, per_language: int, pieces: int) -> list[tuple[st
     rows = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("_h", h)
     wanted = per_language + 8 * per_language**0.5 + 32
-    counts = rows.groupBy("lang").count().collect()
+    # rows that repeat one id and text have one hash and count once
+    counts = rows.select("lang", "_h").distinct().groupBy("lang").count().collect()
     if not counts:
         return []
     least = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, wanted / n - 0.5)])
     rows = rows.where(F.col("_h") / 2.0**64 <= F.element_at(least, F.col("lang")))
-    rows = rows.select("lang", "_h", F.array(*map(cut, range(pieces))).alias("_cuts"))
+    rows = rows.select("lang", "_h", F.array(*map(cut, range(pieces))).alias("_cuts")).distinct()
     first = F.row_number().over(W.partitionBy("lang").orderBy("_h", "_cuts"))
     picked = rows.withColumn("_n", first).where(F.col("_n") <= per_language).orderBy("lang", "_h", "_cuts").collect()
     return [(r["lang"], c.encode()) for r in picked for c in r["_cuts"]]
@@ -198,7 +200,7 @@ def predict(docs: DataFrame, network: Network | None, *keep: str) -> DataFrame:
     """
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(*keep, F.when(letter, F.col("text")).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"), "lang_pred string, score double"])
+    schema = StructType([*(f for f in rows.schema if f.name != "_text"), *StructType.fromDDL("lang_pred string, score double")])
 
     def run(batches):
         tables = network.tables() if network else None
@@ -241,9 +243,7 @@ def languages(docs: DataFrame, id_column: str = "doc_id", per_language: int = 50
 def accepted(docs: DataFrame, least: float = 0.3, id_column: str = "doc_id") -> DataFrame:
     """docs (its own columns) without rows that have no language: ``und``, or no language
     likelier than ``least``."""
-    names = docs.columns
     out = held_out(F.col(id_column))
     network = fit(docs.where(~out).select(F.col(id_column).alias("_key"), "text", "lang"))
-    got = predict(docs.withColumnsRenamed({"lang_pred": "lang_pred_", "score": "score_"}), network, *[{"lang_pred": "lang_pred_", "score": "score_"}.get(c, c) for c in names])
-    got = got.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score")
-    return got.withColumnsRenamed({"lang_pred_": "lang_pred", "score_": "score"}).select(*names)
+    got = predict(docs.select(whole(docs), "text"), network, ALL)
+    return got.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*apart(docs.columns))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.llm.common import FILE, ROW, placed, ranked
+from quire.llm.common import ALL, FILE, ROW, apart, placed, ranked, whole
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -94,8 +94,7 @@ def materialize(docs: DataFrame, plan: DataFrame) -> DataFrame:
     Documents stay whole: the one of each source that the plan takes in part is
     repeated once more if at least half of it is taken.
     """
-    names = docs.columns
     times = F.col("copies") + F.when((F.col("extra_words") * 2 >= F.col("size")) & (F.col("extra_words") > 0), 1).otherwise(0)
     n = plan.select(F.col(FILE).alias("_f"), F.col(ROW).alias("_r"), times.cast("int").alias("_times")).where("_times > 0")
-    rows = placed(docs, *names).join(n, (F.col(FILE) == F.col("_f")) & (F.col(ROW) == F.col("_r")))
-    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    rows = placed(docs.select(whole(docs)), ALL).join(n, (F.col(FILE) == F.col("_f")) & (F.col(ROW) == F.col("_r")))
+    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*apart(docs.columns))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm import kernels as K
-from quire.llm.common import FILE, ROW, placed, settle
+from quire.llm.common import ALL, FILE, ROW, apart, placed, settle, whole
 
 BANDS, WIDTH_OF_BAND, WORDS = 24, 3, 5
 HASHES = BANDS * WIDTH_OF_BAND
@@ -303,7 +303,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs (its own columns) with one row of each group of near-duplicates."""
-    names = docs.columns
+    """docs (its own columns, whatever their names) with one row of each group of
+    near-duplicates: that of the smallest id, of rows of one id that of the first place.
+    Rows without words stay."""
     stay = near_duplicates(docs, percent).where("stays").select(F.col(FILE).alias("_f"), F.col(ROW).alias("_r"))
-    return placed(docs, *names).join(stay, (F.col(FILE) == F.col("_f")) & (F.col(ROW) == F.col("_r")), "left_semi").select(*names)
+    rows = placed(docs.select(whole(docs)), ALL)
+    return rows.join(stay, (F.col(FILE) == F.col("_f")) & (F.col(ROW) == F.col("_r")), "left_semi").select(*apart(docs.columns))
