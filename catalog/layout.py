@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import layout_sql as L
 from quire.functions import geometry as G, runs as R, text as T
-from quire.operators import decisions as D, emit as E, furniture as FU, lines as LN, structure as S
+from quire.operators import decisions as D, digests as DG, emit as E, furniture as FU, lines as LN, structure as S
 from quire.plans import convert as C, views as V
 from quire.session import settle
 
@@ -413,6 +413,27 @@ add(
 )
 
 
+def _earlier(blocks):
+    """Blocks as they were before: some first pages worded otherwise, some second pages not there."""
+    text = F.when((F.col("doc_id") % 7 == 0) & (F.col("page") == 1), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return blocks.where(~((F.col("doc_id") % 11 == 0) & (F.col("page") == 2))).withColumn("text", text)
+
+
+CHANGED = "(doc_id % 7 = 0 AND page = 1) OR (doc_id % 11 = 0 AND page = 2)"
+add(
+    "changed_digests",
+    lambda s, d: DG.changed_pages(DG.digest_tree(blocks_of(s, d)), DG.digest_tree(_earlier(blocks_of(s, d)))),
+    L.with_blocks(f"SELECT DISTINCT doc_id, page FROM blocks WHERE {CHANGED}"),
+)
+add(
+    "re_emit",
+    lambda s, d: C.re_emit(DG.digest_tree(_earlier(blocks_of(s, d))), blocks_of(s, d), V.layout_pages(s, d)).markdown.lines.select(
+        "doc_id", "line_no", "text", "block_id", "page"
+    ),
+    L.with_markdown(f"SELECT doc_id, line_no, text, block_id, page FROM md WHERE doc_id IN (SELECT doc_id FROM blocks WHERE {CHANGED})"),
+)
+
+
 def _changed(s, d):
     blocks, pages = blocks_of(s, d), V.layout_pages(s, d)
     after = E.emit(blocks, pages, decisions=V.decisions(s, d))

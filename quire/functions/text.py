@@ -2,9 +2,11 @@
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from quire import constants as K
 
@@ -226,6 +228,46 @@ def letters_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]"), F.lit(0))
 
 
+_COUNTS = ArrayType(StructType().add("ch", StringType()).add("n", IntegerType()))
+LOW = 0x250  # characters below are counted in a table, others by sorting
+
+
+def count_characters(texts: pa.Array) -> pa.Array:
+    """Of each text every character in it and how often it comes; null has none."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    n, ends = len(texts), np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    begins = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[ends - ends[0]]
+    which, found = np.repeat(np.arange(n), np.diff(begins)), []
+    step = 4096  # texts whose tables are held at a time
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        own = slice(begins[a], begins[b])
+        p, w = points[own], which[own]
+        common = p < LOW
+        table = np.bincount((w[common] - a) * LOW + p[common], minlength=(b - a) * LOW)
+        at = np.flatnonzero(table)
+        key, count = np.unique(w[~common] << 21 | p[~common], return_counts=True)
+        found.append((np.concatenate([at // LOW + a, key >> 21]), np.concatenate([at % LOW, key & 0x1FFFFF]), np.concatenate([table[at], count])))
+    w, p, c = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    order = np.argsort(w, kind="stable")
+    letters = pa.array(list(p[order].astype("<u4").tobytes().decode("utf-32-le")), pa.string())
+    edges = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([letters, pa.array(c[order].astype(np.int32))], ["ch", "n"]))
+
+
+@F.arrow_udf(_COUNTS)
+def _characters(text: pa.Array) -> pa.Array:
+    return count_characters(text)
+
+
+def letter_histogram(text: Column) -> Column:
+    """(ch, n) of every letter and digit of a text, lower case. Characters are counted
+    in arrays; which of them are letters is asked once for each, not at each place."""
+    return F.filter(_characters(F.lower(text)), lambda c: c["ch"].rlike(r"^[\p{L}\p{N}]$"))
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 

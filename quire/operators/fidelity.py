@@ -11,11 +11,11 @@ PAGE = ["doc_id", "page"]
 
 
 def letter_counts(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """(keys, ch, n): letters and digits of `text`, case folded. Counting is
-    partial before the shuffle, so a hot key moves one row per letter."""
-    return (
-        df.select(*keys, F.explode(T.letters_of(text)).alias("ch")).groupBy(*keys, "ch").agg(F.count("*").alias("n"))
-    )
+    """(keys, ch, n): letters and digits of `text`, case folded. Each text is one
+    histogram, never a row for each letter, and histograms are added up before the
+    shuffle, so a hot key moves one row per letter."""
+    each = df.select(*keys, F.inline(T.letter_histogram(text)))
+    return each.groupBy(*keys, "ch").agg(F.sum("n").alias("n"))
 
 
 def total(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -160,8 +160,19 @@ def sides(layers: DataFrame, blocks: DataFrame, markdown, decisions: DataFrame |
 
 
 def fidelity_pages(weighed: DataFrame) -> DataFrame:
-    """Per page: letters expected, carried, and carried only in comments."""
-    per_letter = letter_counts(weighed, [*PAGE, "side"], F.col("text"))
+    """Per page: letters expected, carried, and carried only in comments.
+
+    A page's texts of one side are counted as one, and what is left is grouped by
+    page as they were, so nothing but texts is shuffled.
+    """
+    names = ("layer", "drop", "seen", "note")
+    of = lambda side: F.array_join(F.collect_list(F.when(F.col("side") == side, F.col("text"))), "\n").alias(side)
+    pages = weighed.groupBy(*PAGE).agg(*map(of, names))
+
+    def counted(side):
+        return F.transform(T.letter_histogram(F.col(side)), lambda c: c.withField("side", F.lit(side)))
+
+    per_letter = pages.select(*PAGE, F.inline(F.concat(*map(counted, names))))
 
     def n(*which):
         return F.sum(F.when(F.col("side").isin(*which), F.col("n")).otherwise(0))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quire import constants as K
 from quire.functions import runs as R
 from quire.operators import decisions as D, emit as E, lines as L, structure as S
+from quire.operators.digests import changed_documents, digest_tree
 from quire.operators.fidelity import fidelity_pages, sides
 from quire.session import settle
 
@@ -113,10 +114,24 @@ def changed_only(changed: DataFrame, *tables: DataFrame) -> list[DataFrame]:
     return [t.join(ids, "doc_id", "left_semi") for t in tables]
 
 
-def re_emit(changed: DataFrame, blocks: DataFrame, pages: DataFrame, decisions: DataFrame) -> E.Markdown:
-    """Decisions changed: emit those documents again, and no other."""
-    b, p, d = changed_only(changed, blocks, pages, decisions)
-    return E.emit(b, p, decisions=d)
+class ReEmitted(NamedTuple):
+    """Markdown of the documents that changed, their ids (those gone too), and the tree
+    to keep for next time."""
+
+    markdown: E.Markdown
+    changed: DataFrame
+    tree: DataFrame
+
+
+def re_emit(before: DataFrame, blocks: DataFrame, pages: DataFrame, decisions: DataFrame | None = None) -> ReEmitted:
+    """Emits the documents whose blocks or decisions differ from what ``before``, the
+    tree kept last time, was made of, and no other."""
+    page = F.regexp_extract("block_id", r"^p(\d+)", 1).cast("int")
+    given = [blocks] if decisions is None else [blocks, decisions.withColumn("page", page)]
+    tree = settle(digest_tree(*given), "tree")
+    changed = settle(changed_documents(tree, before), "changed")
+    b, p, *d = changed_only(changed, blocks, pages, *([] if decisions is None else [decisions]))
+    return ReEmitted(E.emit(b, p, decisions=d[0]) if d else E.emit(b, p), changed, tree)
 
 
 def to_read(docs: DataFrame, decided: DataFrame, runs: DataFrame) -> DataFrame:
