@@ -770,7 +770,16 @@ def _items(s, d):
     return p.select(*PAGE, "line_from", "block_id", "item.depth", "item.after", (F.col("ord") % 2 == 1).alias("chosen"))
 
 
-add("nesting_indent", lambda s, d: SE.nesting(_items(s, d), 1))
+add("nesting_indent", lambda s, d: SE.nesting(_items(s, d), 1),
+    # one item after another: none goes deeper than one below where the item before it went
+    L.with_markdown(""", it AS (SELECT doc_id, page, block_id, dep, ord % 2 = 1 AS chosen, begins, row_number() OVER (PARTITION BY doc_id, page ORDER BY nth) AS k
+      FROM (SELECT *, NOT coalesce(lag(item) OVER (PARTITION BY doc_id, page ORDER BY nth), false) AS begins FROM emitted) WHERE item),
+    moved AS (
+      SELECT doc_id, page, k, block_id, dep, CASE WHEN chosen THEN least(dep + 1, 0) ELSE dep END AS new FROM it WHERE k = 1
+      UNION ALL
+      SELECT i.doc_id, i.page, i.k, i.block_id, i.dep, CASE WHEN NOT i.chosen THEN i.dep WHEN i.begins THEN 0 ELSE least(i.dep + 1, m.new + 1) END
+      FROM moved m JOIN it i ON i.doc_id = m.doc_id AND i.page = m.page AND i.k = m.k + 1)
+    SELECT doc_id, block_id, new AS depth FROM moved WHERE new <> dep"""))
 add("nesting_outdent", lambda s, d: SE.nesting(_items(s, d), -1),
     L.with_markdown("SELECT doc_id, block_id, dep - 1 AS depth FROM emitted WHERE item AND dep > 0 AND ord % 2 = 1"))
 
