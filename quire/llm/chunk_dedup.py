@@ -29,7 +29,7 @@ from quire.llm.common import BLOCK, FILE, ROW, placed, settle
 BITS, MIN, MAX = 5, 16, 1024
 LEAST = 96  # bytes of a span
 REACH = 256  # bytes a run is read on at each end at most: cuts settle within fewer
-SHARE = 64 << 20  # bytes of text for each range of digests
+SHARE = 16 << 20  # bytes of text for each range of digests
 NEAR, PERIODIC = 48, 64
 _rng = np.random.default_rng(41)
 _GEAR = _rng.integers(0, 2**32, 256, np.uint32, endpoint=False)
