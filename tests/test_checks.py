@@ -298,3 +298,11 @@ def test_drop_caps_returns_every_file(spark):
         ("d", 1): "taken", ("d", 2): "junk", ("d", 3): "too large", ("d", 4): "taken", ("d", 5): "drop too large",
         ("d", 6): "after the stop", ("k", 1): "taken",
     }
+
+
+def test_tree_order_is_by_character(spark):
+    """Signs go by their code, not by a language's rules; what has no name is last."""
+    names = ["Foo-bar#13", "Foo#12", "\u00c9cole", "eclair", "Foo_a", None, "foo b"]
+    df = spark.createDataFrame([(1, n, True) for n in names], "parent long, name string, is_file boolean")
+    got = [r.name for r in I.tree_order(df).orderBy("place").collect()]
+    assert got == ["eclair", "\u00c9cole", "foo b", "Foo#12", "Foo-bar#13", "Foo_a", None]
