@@ -286,3 +286,13 @@ def test_decided(spark):
     assert placed["deleted", "p1b1"].n == 0 and placed["deleted", "p1b2"].n == 2
     pages = E.md_pages(md.lines).collect()
     assert {r.doc_id: r.text for r in pages}["deleted"] == "a\n\nc\n"
+
+
+def test_runs_say_what_is_a_marker(spark):
+    """Prose that reads like a list marker reaches no further than other prose."""
+    ddl = "doc_id string, page int, run_no int, text string, lead boolean, trail boolean, box struct<x:double,y:double,w:double,h:double>, base double, size double, bold boolean, italic boolean, font string"
+    rows = [("d", 1, i, *r[:7], False, "F") for i, r in enumerate([run("a.", 72, 96), run("item", 95, 96)])]
+    runs = spark.createDataFrame(rows, ddl)
+    assert [r.text for r in L.runs_to_lines(runs).collect()] == ["a. item"]
+    told = L.runs_to_lines(runs.withColumn("marker", F.lit(False)))
+    assert [r.text for r in told.orderBy("line_no").collect()] == ["a.", "item"]
