@@ -296,3 +296,53 @@ def test_runs_say_what_is_a_marker(spark):
     assert [r.text for r in L.runs_to_lines(runs).collect()] == ["a. item"]
     told = L.runs_to_lines(runs.withColumn("marker", F.lit(False)))
     assert [r.text for r in told.orderBy("line_no").collect()] == ["a.", "item"]
+
+
+def test_reading_order_of_few_and_many_lines():
+    """Parts of few lines are read by lists as by arrays."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 40):
+        for _ in range(50):
+            x, y = rng.integers(0, 60, n) * 10.0, rng.integers(0, 40, n) * 18.0
+            w, h = rng.integers(1, 20, n) * 10.0, np.full(n, 10.0)
+            few, most = S._reading_order(x, y, w, h, 10.0), S._FewLines.MOST
+            S._FewLines.MOST = 0
+            try:
+                assert S._reading_order(x, y, w, h, 10.0) == few
+            finally:
+                S._FewLines.MOST = most
+
+
+def test_pages_are_made_once(spark, tmp_path):
+    """Pages come from the count of lines: no row of a line, no text in a shuffle; and a
+    structure's plan packs the lines of a page once."""
+    import os
+
+    from quire.plans import views as V
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no supplied tables")
+    pages = V.layout_pages(spark, sf)
+    lines = V.doc_lines(spark, sf).select("doc_id", (F.floor(F.col("i") / V.LINES_PER_PAGE) + 1).cast("int").alias("page"))
+    assert sorted(pages.select("doc_id", "page").collect()) == sorted(lines.distinct().collect())
+    assert "posexplode" not in pages._jdf.queryExecution().optimizedPlan().toString()
+    packed = S.grouped_lines(V.layout_lines(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert packed.count("collect_list") == 1
+
+
+def test_spaces_at_an_edge(spark):
+    """Text is trimmed and collapsed as the plain rules say, whatever its spaces."""
+    from quire import constants as K
+    from quire.functions import text as T
+
+    texts = ["", " ", "a", " a", "a ", "a b", "a  b", "a\u00a0b", "\u3000a\t", "a \u0085", "a \r\n", "\n", "a\nb", None, "ab\u2028", " \u0085"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    got = df.select(
+        T.ws_trim(t).alias("a"), F.regexp_replace(t, rf"^{K.WS}+|{K.WS}+$", "").alias("b"),
+        T.ws_collapse(t).alias("c"), F.regexp_replace(t, rf"{K.WS}+", " ").alias("d"),
+    ).collect()
+    assert [(r.a, r.c) for r in got] == [(r.b, r.d) for r in got]
