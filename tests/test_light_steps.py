@@ -63,3 +63,52 @@ def test_generated_methods_are_compiled(spark, name):
     else:
         df = entry.queries()[name](spark, SMALL)
     assert longest_method(spark, df) < 8000
+
+
+def written_of(spark, blocks):
+    """blocks: (role, marker, depth, hidden, quote, deleted) of one page."""
+    from quire.operators import emit as E
+
+    rows = [(1, 1, i, f"p1b{i}", "text", "w", r, 0, d, m, h, q, gone) for i, (r, m, d, h, q, gone) in enumerate(blocks)]
+    made = spark.createDataFrame(
+        rows,
+        "doc_id long, page int, ord int, block_id string, kind string, words string, role string, level int, depth int, "
+        "marker string, hidden boolean, quote boolean, deleted boolean",
+    )
+    more = {"corrected": F.lit(False), "furniture": F.lit(None).cast("string"), "label": F.lit(None).cast("string")}
+    return E.written(made.withColumns(more))
+
+
+MIXED = [
+    ("bullet", "-", 0, False, False, False), ("numbered", "3.", 1, False, False, False), ("para", "", 0, True, False, False),
+    ("numbered", "9.", 1, False, True, False), ("bullet", "-", 5, False, True, True), ("para", "", 0, False, True, False),
+    ("para", "", 0, False, True, False), ("alpha", "b)", 0, False, False, False),
+]
+
+
+def test_written_blocks(spark):
+    """A list, a hidden block inside, an item parted by a quote, a deleted one left out."""
+    got = written_of(spark, MIXED).orderBy("ord").collect()
+    assert [r["line"] for r in got] == ["- w", "  3. w", "     <!-- w -->", "> 9. w", "> w", "> w", "2. w"]
+    assert [(r["n"], r["at"], r["after"]) for r in got] == [
+        (1, 1, None), (2, 2, "p1b0"), (3, 3, None), (4, 5, None), (5, 7, None), (6, 9, None), (7, 11, None)
+    ]
+    assert [(r["blank_before"], r["blank_after"]) for r in got] == [(0, 0), (0, 0), (0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+    assert [(r["quoted_before"], r["quoted_after"]) for r in got[3:6]] == [(False, True), (True, True), (True, False)]
+
+
+def test_blocks_are_shuffled_once_to_be_written(spark):
+    assert plan(written_of(spark, MIXED)).count("Exchange") == 1
+
+
+def test_spaces_collapse_as_before(spark):
+    import itertools
+
+    from quire import constants as K
+    from quire.functions import text as T
+
+    texts = ["".join(p) for p in itertools.product("a \té  \n", repeat=4)]
+    plain = F.regexp_replace("t", rf"{K.WS}{{2,}}|(?! ){K.WS}", " ")
+    df = spark.createDataFrame([(t,) for t in [*texts, "", None]], "t string")
+    assert df.where(~T.ws_collapse(F.col("t")).eqNullSafe(plain)).count() == 0
+    assert "contains" in T.ws_collapse(F.col("t"))._jc.toString().lower()
