@@ -112,3 +112,43 @@ def test_spaces_collapse_as_before(spark):
     df = spark.createDataFrame([(t,) for t in [*texts, "", None]], "t string")
     assert df.where(~T.ws_collapse(F.col("t")).eqNullSafe(plain)).count() == 0
     assert "contains" in T.ws_collapse(F.col("t"))._jc.toString().lower()
+
+
+def missing_by_hand(texts):
+    """(doc_id, page, pos, word) of texts (doc_id, page, side, text), word by word."""
+    import re
+    from collections import Counter, defaultdict
+
+    pages = defaultdict(lambda: defaultdict(list))
+    for doc, page, side, text in texts:
+        pages[doc, page][side].append(re.findall(r"[^\W_]+", (text or "").lower()))
+    out = []
+    for (doc, page), sides in pages.items():
+        layer = sorted((i, w) for ws in sides["layer"] for i, w in enumerate(ws))
+        have = Counter(w for s in ("seen", "note") for ws in sides[s] for w in ws)
+        drop = Counter(w for ws in sides["drop"] for w in ws)
+        want, nth = Counter(w for _, w in layer), Counter()
+        spare = [w for w, n in have.items() if n > max(want[w] - drop[w], 0)]
+        for i, w in layer:
+            nth[w] += 1
+            if nth[w] > have[w] + drop[w] and not any(w in s for s in spare):
+                out.append((doc, page, i, w))
+    return sorted(out)
+
+
+def test_no_word_is_a_row(spark):
+    import random
+
+    from quire.operators import fidelity as FI
+
+    draw = random.Random(4)
+    words = ["a", "ab", "Cab", "über", "straße", "СЛОВО", "x1", "1", "٣", "ét", "o'er", "语言", "𝒳y", "—", "_b_", "z"]
+    texts = [
+        (d, p, side, draw.choice([" ", "  ", "\n", ", "]).join(draw.choices(words, k=draw.randrange(0, 14))))
+        for d in range(40) for p in (1, 2) for side in ("layer", "seen", "seen", "note", "drop") if draw.random() < 0.8
+    ]
+    texts += [(99, 1, "layer", "of of of"), (99, 1, "layer", "of on"), (99, 1, "drop", "of"), (99, 1, "seen", None), (98, 1, "seen", "lone")]
+    missing = FI.fidelity_missing(spark.createDataFrame(texts, "doc_id long, page int, side string, text string"))
+    assert plan(missing).count("Exchange") == 1 and "Window" not in plan(missing)
+    assert sorted(map(tuple, missing.collect())) == missing_by_hand(texts)
+    assert [f.dataType.simpleString() for f in missing.schema] == ["bigint", "int", "int", "string"]
