@@ -154,3 +154,39 @@ def test_no_word_is_a_row(spark):
     assert plan(missing).count("Exchange") == 1 and "Window" not in plan(missing)
     assert sorted(map(tuple, missing.collect())) == missing_by_hand(texts)
     assert [f.dataType.simpleString() for f in missing.schema] == ["bigint", "int", "int", "string"]
+
+
+def pictures_df(spark, rows):
+    box = "struct<x:double,y:double,w:double,h:double>"
+    return spark.createDataFrame(rows, f"doc_id long, page int, pic_no int, box {box}, path string, px_w int, px_h int")
+
+
+@supplied
+def test_pictures_are_placed_where_blocks_are_made(spark):
+    """The same blocks as by the window over a page, pages with no line and pictures with no text near included."""
+    lines = V.layout_lines(spark, SMALL).where("doc_id % 7 < 3")
+    far = pictures_df(spark, [(1, 900, 0, (1.0, 1.0, 5.0, 5.0), "a", 9, 9), (1, 900, 1, (1.0, 1.0, 5.0, 5.0), "b", 9, 9)])
+    pictures = V.kept_pictures(spark, SMALL).unionByName(far, allowMissingColumns=True)
+    got = S.structure(lines, pictures)
+    assert "Window" not in plan(got) and "Exchange" not in plan(got)
+    want = S.place_pictures(S.structure(lines), pictures).select(got.columns)
+    assert got.where("kind = 'image'").count() > 2
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_whole_blocks_are_not_shuffled(spark):
+    """Only headings and broken words wait for their document; what is left is read as it was written."""
+    texts = ["1. one two", "three", "a high-", "way of high-way", "one engi-", "neering"]
+    blocks = S.structure(lines_of(spark, texts))
+    assert "Exchange" not in plan(blocks)
+    assert [r.text for r in blocks.orderBy("ord").collect()] == ["one two three a high-way of high-way one engineering"]
+
+
+def test_texts_meet_their_lines_once(spark):
+    from quire.operators import emit as E
+
+    blocks = S.structure(lines_of(spark, ["Some words", "and more."]))
+    pages = spark.createDataFrame([(1, 1, 612.0, 792.0)], "doc_id long, page int, width double, height double")
+    md = E.emit(blocks, pages)
+    assert not {"words", "text", "line"} & {*md.written.columns, *md.shaped.columns}
+    assert [r.text for r in md.lines.collect()] == ["Some words and more."]
