@@ -190,3 +190,25 @@ def test_texts_meet_their_lines_once(spark):
     md = E.emit(blocks, pages)
     assert not {"words", "text", "line"} & {*md.written.columns, *md.shaped.columns}
     assert [r.text for r in md.lines.collect()] == ["Some words and more."]
+
+
+def test_only_margins_take_their_words_along(spark):
+    """Pages of all heights: what lies in a margin of its own page, as told one by one, has words; no other has."""
+    from quire.functions import geometry as G, text as T
+    from quire.operators import furniture as FU
+
+    heights = [40.0, 100.0, 792.0, 5000.0]
+    rows = [
+        (1, p + 1, i, f"p{p + 1}b{i}", "text", ["Page 3", "Notes 4", "12", "— —", None][i % 5], "", (0.0, y, 10.0, 9.0))
+        for p, h in enumerate(heights) for i, y in enumerate([0.0, h * 0.12 - 9, h * 0.12 - 8.9, 11.0, 30.0, h / 2, h * 0.88, h * 0.88 - 0.01, h - 5, h])
+    ]
+    box = "struct<x:double,y:double,w:double,h:double>"
+    blocks = spark.createDataFrame(rows, f"doc_id long, page int, ord int, block_id string, kind string, text string, marker string, box {box}")
+    pages = spark.createDataFrame([(1, p + 1, 612.0, h) for p, h in enumerate(heights)], "doc_id long, page int, width double, height double")
+    margin = G.in_margin(F.col("box"), F.col("height"))
+    said = T.printed(F.col("marker"), F.col("text"))
+    told = [F.when(margin, c).alias(n) for n, c in (("words", F.col("text")), ("printed", said), ("key", T.wording(said)), ("label", T.page_label(said)))]
+    want = blocks.join(pages, ["doc_id", "page"]).select("block_id", margin.alias("margin"), *told)
+    got = FU.seen(blocks, pages).select(want.columns)
+    assert got.where("margin").count() > 10
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
