@@ -212,3 +212,37 @@ def test_only_margins_take_their_words_along(spark):
     got = FU.seen(blocks, pages).select(want.columns)
     assert got.where("margin").count() > 10
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_a_pages_texts_are_grouped_once(spark):
+    """Pages gathered apart and joined are those gathered together, one without a number included; what
+    a page prints, grouped before, is not shuffled again."""
+    from quire.operators import emit as E, fidelity as FI, lines as LN
+
+    row = lambda d, p, i, t: (d, p, i, f"p{p}b{i}", "text", t, "1." if i else "", "numbered" if i else "para")
+    rows = [row(1, 1, 0, "Some words"), row(1, 1, 1, "left out"), row(1, 2, 0, "put right"), row(2, None, 1, "nowhere")]
+    blocks = spark.createDataFrame(rows, "doc_id long, page int, ord int, block_id string, kind string, text string, marker string, role string")
+    box = F.struct(*[F.lit(300.0).alias(c) for c in "xywh"]).alias("box")
+    more = [F.lit(0).alias("level"), F.lit(0).alias("depth"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit(None).cast("string").alias("href"), F.lit(-1).alias("picture"), box]
+    blocks = blocks.select("*", *more)
+    pages = spark.createDataFrame([(1, 1, 612.0, 792.0), (1, 2, 612.0, 792.0)], "doc_id long, page int, width double, height double")
+    decisions = spark.createDataFrame(
+        [(1, "p1b1", True, None), (1, "p2b0", None, "set right")], "doc_id long, block_id string, deleted boolean, text string"
+    ).withColumn("role", F.lit(None).cast("string"))
+    runs = spark.createDataFrame(
+        [(1, 1, 0, "Some words"), (1, 1, 1, "1. left out"), (1, 3, 0, "of a page alone"), (2, None, 0, "nowhere else")],
+        "doc_id long, page int, run_no int, text string",
+    )
+    layers = LN.text_layer(runs)
+    md = E.emit(blocks, pages, decisions=decisions)
+    apart = FI.sides_by_page(layers, blocks, md, decisions)
+    sort = lambda df: sorted(repr([r.doc_id, r.page, *map(sorted, (r.layer, r.drop, r.seen, r.note))]) for r in df.collect())
+    assert sort(apart) == sort(FI.gathered(FI.sides(layers, blocks, md, decisions), ["doc_id", "page"]))
+    assert len(sort(apart)) == 4
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        at = plan(FI.fidelity_missing(apart))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    joined = at[at.index("FullOuter") :].splitlines()
+    assert "Sort [" in joined[1] and "Aggregate" in joined[2]
