@@ -246,3 +246,63 @@ def test_a_pages_texts_are_grouped_once(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     joined = at[at.index("FullOuter") :].splitlines()
     assert "Sort [" in joined[1] and "Aggregate" in joined[2]
+
+
+def lines_by_hand(rows):
+    """(doc_id, page, text, x, right, size, bold, italic, font) of runs, each page by itself."""
+    import numpy as np
+
+    from quire.operators import bands
+
+    out, pages = [], {}
+    for r in sorted(rows, key=lambda r: (r[:3])):
+        pages.setdefault(r[:2], []).append(r[3:])
+    units = lambda r: len((r[0] or "").encode("utf-16-be")) // 2
+    for key, runs in pages.items():
+        number = [np.array([float(v) for v in c]) for c in zip(*[(*r[3], r[4], r[5]) for r in runs])]
+        at = bands.Lines(*number, np.array([bool(r[9]) for r in runs]), np.array([len(runs)]))
+        for line in range(int(at.line.max()) + 1):
+            mine = sorted((int(at.place[i]), i) for i in range(len(runs)) if at.line[i] == line)
+            said = "".join((" " if runs[i][1] or at.gap[i] else "") + runs[i][0] + (" " if runs[i][2] else "") for _, i in mine if runs[i][0] is not None)
+            own = [runs[i] for _, i in mine]
+            first = max(own, key=lambda r: -1 if r[0] is None else units(r))
+            share = lambda k: None if all(r[0] is None for r in own) else sum(units(r) for r in own if r[k]) * 2 > sum(map(units, own))
+            box = (min(r[3][0] for r in own), max(r[3][0] + r[3][2] for r in own))
+            out.append((*key, " ".join(said.split()), *box, first[5], share(6), share(7), first[8]))
+    return out
+
+
+def test_runs_are_packed_where_they_lie(spark):
+    """However runs are dealt and cut in batches they make the lines they make page by page, in one shuffle."""
+    import random
+
+    from quire.operators import lines as LN
+
+    draw = random.Random(5)
+    words = ["a", "über", "𝒳𝒳𝒳𝒳", "語", "long-word", "1.", "", None]
+    rows = [
+        (d, p, n, draw.choice(words), draw.choice([True, False, None]), draw.random() < 0.2, (20.0 + 30 * (n % 9), 50.0 + 14 * (n // 9), draw.choice([8.0, 20.0, 25.0]), 9.0),
+         59.0 + 14 * (n // 9), draw.choice([10.0, 10.0, 10.5]), draw.choice([True, False, None]), draw.random() < 0.5, draw.choice(["F", "G", None]), draw.random() < 0.1)
+        for d in range(5) for p in (1, 2) for n in range(40)
+    ]
+    draw.shuffle(rows)
+    ddl = "doc_id long, page int, run_no int, text string, lead boolean, trail boolean, box struct<x:double,y:double,w:double,h:double>, base double, size double, bold boolean, italic boolean, font string, marker boolean"
+    runs = spark.createDataFrame(rows, ddl)
+    want = sorted(map(repr, lines_by_hand(rows)))
+    for n in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        lines = LN.runs_to_lines(runs)
+        assert plan(lines).count("Exchange") == 1 and "Window" not in plan(lines)
+        got = [(r.doc_id, r.page, r.text, r.box.x, r.box.x + r.box.w, r["size"], r.bold, r.italic, r.font) for r in lines.collect()]
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(map(repr, got)) == want
+    top = sorted((r.doc_id, r.page, r.line_no, r.box.y, r.box.x) for r in lines.collect())
+    assert top == sorted(top, key=lambda r: (*r[:2], *r[3:])) and [r[2] for r in top if r[:2] == (0, 1)] == list(range(len([r for r in top if r[:2] == (0, 1)])))
+
+
+def test_runs_of_one_number_go_by_what_they_say(spark):
+    from quire.operators import lines as LN
+
+    ddl = "doc_id long, page int, run_no int, text string, lead boolean, trail boolean, box struct<x:double,y:double,w:double,h:double>, base double, size double, bold boolean, italic boolean, font string"
+    rows = [(1, 1, 0, t, False, False, (20.0, 50.0, 8.0, 9.0), 59.0, 10.0, False, False, "F") for t in "cab"]
+    assert [r.text for r in LN.runs_to_lines(spark.createDataFrame(rows, ddl).repartition(3, "text")).collect()] == ["abc"]
