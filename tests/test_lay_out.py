@@ -42,3 +42,18 @@ def test_a_page_has_its_time():
     assert len(S._structure(*page)[0]) == n
     with pytest.raises(S.Late):
         S._structure(*page, time.perf_counter())
+
+
+def test_broken_pages_are_taken_out_packed(spark):
+    """A run that can't be placed travels with its page: runs are shuffled once, as packs, and not to be sorted out."""
+    from quire.operators import lines as L
+
+    rows = [run("a", p, n) for p in (1, 2) for n in range(3)] + [run("a", 2, 9, w=float("nan")), run("b", 1, 0, text=None), run("b", 2, 0)]
+    runs = spark.createDataFrame(rows, RUNS)
+    broken = C.broken_pages(runs)
+    lines = L.runs_to_lines(runs, broken)
+    assert sorted({(r.doc_id, r.page) for r in lines.collect()}) == [("a", 1), ("b", 2)]
+    assert [tuple(r) for r in broken.orderBy("doc_id").collect()] == [("a", 2, 1, "box"), ("b", 1, 1, "text")]
+    text = lines._jdf.queryExecution().executedPlan().toString()
+    anti = text[text.index("LeftAnti") :].splitlines()
+    assert "Aggregate" in "".join(anti[1:3]) and not any("Exchange" in x for x in anti[1:2])
