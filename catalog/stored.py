@@ -205,11 +205,11 @@ add(
 def _markdown_back(s, d):
     at = _place(s, "markdown")
     TA.write_markdown(markdown_of(s, d).lines, at)
-    return s.read.text(at)
+    return TA.read_markdown(s, at)
 
 
 add(
     "write_markdown",
-    lambda s, d: _markdown_back(s, d).groupBy("doc_id", F.col("value").alias("text")).agg(F.count("*").alias("n")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n"),
+    lambda s, d: _markdown_back(s, d).groupBy("doc_id", "text").agg(F.count("*").alias("n")),
     L.with_markdown("SELECT doc_id, text, count(*) AS n FROM md GROUP BY doc_id, text"),
 )
